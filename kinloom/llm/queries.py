@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinloom.llm import common, token_files, url_filter
+from kinloom.llm import common, quality, token_files, toxicity, url_filter, word_bpe
 
 #: The list that op7 judges URLs by.
 URL_RULES = [
@@ -22,6 +23,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def judged(scored: DataFrame, divisor: int, held: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (common.remainder(F.col("doc_id"), divisor) == held).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", doc_id="long", text="string")
+    labels = common.table(spark, sf_dir, "labels", doc_id="long", toxic="int")
+    model = toxicity.train(docs, labels.where(common.remainder(F.col("doc_id"), 5) != 0))
+    return judged(toxicity.score(docs, model), 5, 0)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", doc_id="long", text="string")
+    labels = common.table(spark, sf_dir, "labels", doc_id="long", quality="int")
+    model = quality.train(docs, labels.where(common.remainder(F.col("doc_id"), 3) != 1))
+    return judged(quality.score(docs, model), 3, 1)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages", page_id="long", url="string")
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -51,6 +75,20 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = common.table(spark, sf_dir, "documents", doc_id="long", text="string")
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    rows = word_bpe.decode(word_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", doc_id="long", text="string")
     path = common.shared_dir(spark, "token-files")
@@ -60,7 +98,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_url_filter, op10_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op7_url_filter, op8_word_bpe, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
