@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import common, quality, token_files, toxicity, url_filter, word_bpe
+from kinloom.llm import common, decontamination, quality, rotated_codes, token_files, toxicity, url_filter, word_bpe
 
 #: The list that op7 judges URLs by.
 URL_RULES = [
@@ -46,6 +46,53 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.score(docs, model), 3, 1)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", doc_id="long", text="string")
+    items = common.table(spark, sf_dir, "benchmark", item_id="long", text="string")
+    found = decontamination.find_items(docs, items, width=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP3_SQL = f"""
+WITH dw AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+  FROM documents
+),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(text, '{common.UPPER}', '{common.LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM (SELECT item_id, w, least(10, len(w)) AS n FROM iw WHERE len(w) > 0))
+),
+starts AS (
+  SELECT k, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+),
+hits AS (SELECT k, i, n, item_id FROM starts JOIN windows USING (n, t)),
+covered AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM hits) GROUP BY k),
+items AS (
+  SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY k
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (k) LEFT JOIN items USING (k)
+"""
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages", page_id="long", url="string")
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -89,6 +136,26 @@ def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings", vec_id="long", embedding="array<float>")
+    return rotated_codes.nearest(vectors, lambda vec_id: vec_id % 100 == 0, k=10)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+    AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, array_distance(q.e, c.e) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+  )
+) WHERE rank <= 10
+"""
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", doc_id="long", text="string")
     path = common.shared_dir(spark, "token-files")
@@ -97,9 +164,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(token_files.checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+REGISTERED = [
+    op1_toxicity,
+    op2_quality,
+    op3_decontamination,
+    op7_url_filter,
+    op8_word_bpe,
+    op9_rotated_codes,
+    op10_token_files,
+]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op7_url_filter, op8_word_bpe, op10_token_files)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL, "op9_rotated_codes": OP9_SQL}
