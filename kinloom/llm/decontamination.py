@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -154,14 +155,12 @@ def search_index(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, counts, positions = (batch.column(c) for c in ("terms", "counts", "positions"))
-            flat_terms, flat_counts, flat_positions = (x.values.to_numpy(zero_copy_only=False).tolist() for x in (terms, counts, positions))
+            flat_terms, flat_counts, flat_positions = (x.values.to_numpy(zero_copy_only=False) for x in (terms, counts, positions))
             bounds, at = terms.offsets.to_pylist(), positions.offsets.to_pylist()
             found = []
-            for i in range(batch.num_rows):
-                a, p, lists = bounds[i], at[i], {}
-                for t in range(a, bounds[i + 1]):
-                    lists[flat_terms[t]] = flat_positions[p : p + flat_counts[t]]
-                    p += flat_counts[t]
+            for (a, b), (p, q) in zip(pairwise(bounds), pairwise(at), strict=True):
+                own, ends = flat_positions[p:q].tolist(), np.cumsum(flat_counts[a:b]).tolist()
+                lists = {t: own[i:j] for t, i, j in zip(flat_terms[a:b].tolist(), [0, *ends], ends, strict=False)}
                 found.append(sent.value.search(lists, slop))
             spans = pa.array(
                 [[{"start": s, "stop": e} for s, e in x[0]] for x in found],
