@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import common, decontamination, quality, rotated_codes, token_files, toxicity, url_filter, word_bpe
+from kinloom.llm import (
+    common,
+    decontamination,
+    quality,
+    rotated_codes,
+    subword_lattice,
+    token_files,
+    toxicity,
+    url_filter,
+    word_bpe,
+)
 
 #: The list that op7 judges URLs by.
 URL_RULES = [
@@ -93,6 +103,15 @@ FROM dw LEFT JOIN covered USING (k) LEFT JOIN items USING (k)
 """
 
 
+def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", doc_id="long", text="string")
+    held_out = common.remainder(F.col("doc_id"), 7) == 2
+    scored = subword_lattice.score_texts(docs.withColumn("training", ~held_out), vocabulary("piece_bpe_32k.model"))
+    return scored.select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages", page_id="long", url="string")
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -168,6 +187,7 @@ REGISTERED = [
     op1_toxicity,
     op2_quality,
     op3_decontamination,
+    op4_subword_lattice,
     op7_url_filter,
     op8_word_bpe,
     op9_rotated_codes,
