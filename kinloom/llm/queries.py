@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinloom.llm import (
     common,
     decontamination,
+    jaccard_join,
     quality,
     rotated_codes,
     subword_lattice,
@@ -112,6 +113,45 @@ def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", doc_id="long", text="string")
+    return jaccard_join.join_components(docs, width=5).drop("key")
+
+
+OP6_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS t
+  FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+sets AS (SELECT k, md5(string_agg(t, '|' ORDER BY t)) AS h FROM s GROUP BY k),
+rep AS (SELECT min(k) AS k, h FROM sets GROUP BY h),
+rs AS (SELECT s.k, s.t FROM s JOIN rep USING (k)),
+rare AS (SELECT t FROM rs GROUP BY t HAVING count(*) > 1),
+met AS (
+  SELECT x.k AS a, y.k AS b, count(*) AS m
+  FROM rs x JOIN rare USING (t) JOIN rs y USING (t) WHERE x.k < y.k GROUP BY x.k, y.k
+),
+links AS (
+  SELECT a, b FROM met JOIN n na ON na.k = a JOIN n nb ON nb.k = b WHERE 100 * m >= 80 * (na.n + nb.n - m)
+),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(k, r) AS (
+  SELECT k, k FROM rep UNION SELECT reach.k, edges.b FROM reach JOIN edges ON edges.a = reach.r
+),
+comp AS (SELECT k, min(r) AS c FROM reach GROUP BY k),
+placed AS (SELECT d.k, d.doc_id, c FROM d JOIN sets USING (k) JOIN rep USING (h) JOIN comp ON comp.k = rep.k),
+least AS (SELECT c, min(doc_id) AS component_id FROM placed GROUP BY c)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (k) LEFT JOIN placed USING (k) LEFT JOIN least USING (c)
+"""
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages", page_id="long", url="string")
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -188,6 +228,7 @@ REGISTERED = [
     op2_quality,
     op3_decontamination,
     op4_subword_lattice,
+    op6_jaccard_join,
     op7_url_filter,
     op8_word_bpe,
     op9_rotated_codes,
@@ -200,4 +241,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL, "op9_rotated_codes": OP9_SQL}
+    return {"op3_decontamination": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_rotated_codes": OP9_SQL}
