@@ -25,7 +25,7 @@ from kinloom.llm.common import stored
 from kinloom.llm.token_files import slices
 
 #: Added to a piece's rank in its first weight; uses that every piece gets besides those expected; rounds.
-RANK_OFFSET, SMOOTHING, ROUNDS = 10, 0.1, 1
+RANK_OFFSET, SMOOTHING, ROUNDS = 10, 0.1, 2
 #: Words that a task counts before it hands them on; share of all tokens from which a word is sent to all tasks.
 HELD, FREQUENT = 400_000, 2e-5
 #: The token that ends each document. It is no word, as words hold no white space.
