@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinloom.llm import (
     common,
     decontamination,
+    html_main,
     jaccard_join,
     quality,
     rotated_codes,
@@ -113,6 +114,12 @@ def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages", page_id="long", url="string", html="string")
+    text = html_main.extract(pages, html_main.trained())
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", doc_id="long", text="string")
     return jaccard_join.join_components(docs, width=5).drop("key")
@@ -228,6 +235,7 @@ REGISTERED = [
     op2_quality,
     op3_decontamination,
     op4_subword_lattice,
+    op5_html_main,
     op6_jaccard_join,
     op7_url_filter,
     op8_word_bpe,
