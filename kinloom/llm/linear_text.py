@@ -105,18 +105,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, features: Fea
     return [(r.label, np.frombuffer(r.features, "<i8")) for r in rows.toLocalIterator()]
 
 
-def score_texts(docs: DataFrame, model: LinearModel, features: Features) -> DataFrame:
+def score_texts(docs: DataFrame, model: LinearModel, features: Features, keep_text: bool = False) -> DataFrame:
     """Add score to docs, which has a column text; a null text counts as empty. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, texts in slices(batch, "text_"):
-                scores = pa.array([model.score(features(t)) for t in texts], pa.float64())
-                kept = [n for n in piece.schema.names if n != "text_"]
+            for piece, texts in slices(batch, "text"):
+                scores = pa.array([model.score(features(t or "")) for t in texts], pa.float64())
+                kept = [n for n in piece.schema.names if keep_text or n != "text"]
                 columns = [piece.column(piece.schema.get_field_index(n)) for n in kept]
                 yield pa.record_batch([*columns, scores], names=[*kept, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return (
-        docs.withColumn("text_", F.coalesce("text", F.lit(""))).drop("text").mapInArrow(run, f"{fields}, score double")
-    )
+    rows = docs.drop("score")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text")
+    return rows.mapInArrow(run, f"{fields}, score double")

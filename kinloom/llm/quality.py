@@ -120,9 +120,9 @@ def train(docs: DataFrame, labels: DataFrame) -> LinearModel:
     return fit_nbsvm([x for _, x in rows], np.array([y for y, _ in rows]))
 
 
-def score(docs: DataFrame, model: LinearModel) -> DataFrame:
-    """Replace text by score (0 to 1, higher: good likelier) in docs; a null or empty text is scored as empty.
+def score(docs: DataFrame, model: LinearModel, keep_text: bool = False) -> DataFrame:
+    """Replace text (unless it is kept) by score (0 to 1, higher: good likelier) in docs; a null or empty text is scored as empty.
 
     Every row keeps its place: repeated rows have equal scores, null ids are kept, an empty table gives no rows.
     """
-    return score_texts(docs, model, features)
+    return score_texts(docs, model, features, keep_text)

@@ -230,6 +230,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(token_files.checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 REGISTERED = [
     op1_toxicity,
     op2_quality,
@@ -241,6 +247,7 @@ REGISTERED = [
     op8_word_bpe,
     op9_rotated_codes,
     op10_token_files,
+    pipeline,
 ]
 
 
