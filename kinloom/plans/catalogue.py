@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from kinloom.plans import relational
+
+MODULES = [relational]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, (f, _) in m.REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.REGISTRY.items() if sql}
