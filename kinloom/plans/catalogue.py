@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinloom.plans import relational
+from kinloom.plans import relational, textual
 
-MODULES = [relational]
+MODULES = [relational, textual]
 
 
 def queries() -> dict:
