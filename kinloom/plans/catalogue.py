@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinloom.plans import relational, textual
+from kinloom.plans import decisions, relational, sourcing, textual
 
-MODULES = [relational, textual]
+MODULES = [sourcing, relational, textual, decisions]
 
 
 def queries() -> dict:
