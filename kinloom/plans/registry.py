@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import deepcopy
 
 
 class Registry(dict):
@@ -23,7 +24,7 @@ class Registry(dict):
 
 def settings(named: dict[str, dict], name: str, **overrides) -> dict:
     """A named setting over those it ``extends``; dotted overrides reach inner values, ``_replace`` drops the inherited ones."""
-    own = dict(named[name])
+    own = deepcopy(named[name])
     parent = own.pop("extends", None)
     base = settings(named, parent) if parent else {}
     out = _merged(base, own)

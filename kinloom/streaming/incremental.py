@@ -15,8 +15,11 @@ def run_available(spark: SparkSession, path: str, state: str | None = None) -> D
     """
     state = state or f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/incremental-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    folder, name = path.rstrip("/").rsplit("/", 1)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    reader = spark.readStream.schema(schema)
+    if not is_folder(spark, path):  # a stream reads folders: of this one, the one file
+        path, name = path.rsplit("/", 1)
+        reader = reader.option("pathGlobFilter", name)
+    stream = reader.parquet(path)
     run = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", f"{state}/checkpoint")
@@ -26,3 +29,9 @@ def run_available(spark: SparkSession, path: str, state: str | None = None) -> D
     )
     run.awaitTermination()
     return spark.read.schema(schema).parquet(f"{state}/rows")
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system has a folder there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
