@@ -9,8 +9,10 @@ asks for counts, or for a range of documents, reads no other ids.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ FORMAT = {
     "parquet.page.row.count.limit": "4000",
 }
 #: Characters of text that are encoded at once, and chunks that a worker remembers.
-SLICE_CHARS, REMEMBERED = 2_000_000, 300_000
+SLICE_CHARS, REMEMBERED = 1_000_000, 250_000
+#: Marks that often end a chunk: neither letters, digits nor white space, and no apostrophe.
+MARKS = ".,;:!?)]}\"#$%&*+-/<=>@\\^_`|~"
 
 
 class ChunkEncoder:
@@ -36,7 +40,8 @@ class ChunkEncoder:
 
     A byte-level tokenizer starts a pre-token at a space that precedes a visible character. So the ids of
     `` chunk`` don't depend on its neighbours, if the chunk begins and ends with a visible character. Texts
-    with any other chunk (runs of spaces, a line break beside a space) are encoded whole.
+    with any other chunk (runs of spaces, a line break beside a space) are encoded whole. Ids are kept as
+    the bytes of 32-bit integers, in two generations of bounded size, so that frequent chunks stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,57 +49,90 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, tuple[int, ...] | None] = {}
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.memo) > REMEMBERED:
-            self.memo.clear()
-        memo = self.memo
-        split = [t.split(" ") for t in texts]
-        new = {c for chunks in split for c in islice(chunks, 1, None) if c not in memo}
-        apart = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        memo.update(dict.fromkeys(new))
-        memo.update(zip(apart, map(tuple, self.whole([" " + c for c in apart])), strict=True))
-        firsts = self.whole([chunks[0] for chunks in split])
-        out = []
-        for text, chunks, first in zip(texts, split, firsts, strict=True):
-            parts = [memo[c] for c in islice(chunks, 1, None)]
-            if None in parts or (chunks[0] and chunks[0][-1].isspace()):
-                out.append(self.whole([text])[0])
-            else:
-                first.extend(chain.from_iterable(parts))
-                out.append(first)
-        return out
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("the tokenizer changes texts before it splits them, so chunks can't be encoded apart")
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        # The byte-level alphabet: visible bytes of Latin-1 stand for themselves, the others follow from 256 on.
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
+        self.space = chr(self.letters[32])
+        self.ends: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def remember(self, chunk: str) -> bytes | None:
+        """The ids of a chunk that wasn't met lately, or None if it can't be encoded apart."""
+        if chunk in self.old:
+            ids = self.old[chunk]
+        elif chunk.isalpha():  # one pre-token
+            word = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+            ids = packed([t.id for t in self.tokenizer.model.tokenize(self.space + word)])
+        elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            ids = None
+        elif (core := chunk.rstrip(MARKS)).isalpha():  # letters are a pre-token, and so are the marks behind them
+            ids = self.young.get(core) or self.remember(core)
+            marks = chunk[len(core) :]
+            if (end := self.ends.get(marks)) is None:
+                end = self.whole(marks)
+                if len(self.ends) < REMEMBERED:
+                    self.ends[marks] = end
+            ids += end
+        else:
+            ids = self.whole(" " + chunk)
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        chunks = text.split(" ")
+        if chunks[0] and chunks[0][-1].isspace():
+            return self.whole(text)
+        parts = list(map(self.young.get, islice(chunks, 1, None)))
+        if None in parts:
+            parts = [self.remember(c) if p is None else p for c, p in zip(islice(chunks, 1, None), parts, strict=True)]
+            if None in parts:
+                return self.whole(text)
+        return self.whole(chunks[0]) + b"".join(parts)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a worker, so that they share what it remembers."""
+    return ChunkEncoder(path)
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut a batch so that each piece holds a bounded amount of text (one document at least)."""
-    texts = batch.column(text).to_pylist()
+    column = batch.column(text)
+    texts: list[str] = []
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_CHARS or i + 1 == len(texts):
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, size = i + 1, 0
+    for i, t in enumerate(column):
+        texts.append(t.as_py())
+        size += len(texts[-1] or "")
+        if size >= SLICE_CHARS or i + 1 == len(column):
+            yield batch.slice(start, i + 1 - start), texts
+            start, size, texts = i + 1, 0, []
 
 
 def encode_rows(tokenizer: str, end_id: int):
     """The function for mapInArrow: (doc_id, text) to the columns of the files; rows come in file order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder, end = encoder_of(tokenizer), packed([end_id])
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece, texts in slices(batch, "text"):
-                ids = encoder.encode(texts)
-                for x in ids:
-                    x.append(end_id)
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                ids = [encoder.encode(t) + end for t in texts]
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // len(end)
                 ends = np.cumsum(n)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                flat = np.frombuffer(b"".join(ids), "<i4")
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.record_batch(
                     [
