@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinloom.plans import decisions, relational, sourcing, textual
+from kinloom.plans import decisions, linkage, relational, sourcing, textual
 
-MODULES = [sourcing, relational, textual, decisions]
+MODULES = [sourcing, relational, textual, decisions, linkage]
 
 
 def queries() -> dict:
