@@ -14,7 +14,9 @@ block that has them, and codes at about 1.5 bytes for each pre-token.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from kinloom.llm.token_files import slices
 
 #: Characters of text in a block, except that one document is never cut.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 3_000_000
 #: Words whose ids a task remembers while it encodes; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 PACKED = "key long, block long, kind int, blob binary"
 CODES, WORDS, IDS = 0, 1, 2
@@ -73,27 +75,28 @@ class Splitter:
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
-        self.memo: dict[str, tuple[int, ...] | None] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def code(self, text: str) -> tuple[int, ...]:
+    def code(self, text: str) -> bytes:
+        """The codes of the pre-tokens of a text, as 32-bit integers."""
         codes = self.codes
-        return tuple(codes.setdefault(w, len(codes)) for w in self.find(text))
+        return array("I", [codes.setdefault(w, len(codes)) for w in self.find(text)]).tobytes()
 
-    def split(self, text: str) -> list[int]:
+    def split(self, text: str) -> bytes:
         """A chunk that begins and ends with visible characters splits alike whatever stands beside it."""
         chunks = text.split(" ")
+        parts = list(map(self.memo.get, islice(chunks, 1, None)))
+        if None in parts:
+            for i, c in enumerate(islice(chunks, 1, None)):
+                if parts[i] is None:
+                    if not c or c[0].isspace() or c[-1].isspace():
+                        return self.code(text)
+                    if c not in self.memo:
+                        self.memo[c] = self.code(" " + c)
+                    parts[i] = self.memo[c]
         if chunks[0] and chunks[0][-1].isspace():
-            return list(self.code(text))
-        out = list(self.code(chunks[0]))
-        memo = self.memo
-        for c in chunks[1:]:
-            if (known := memo.get(c, 0)) == 0:
-                apart = c and not c[0].isspace() and not c[-1].isspace()
-                known = memo[c] = self.code(" " + c) if apart else None
-            if known is None:
-                return list(self.code(text))
-            out += known
-        return out
+            return self.code(text)
+        return self.code(chunks[0]) + b"".join(parts)
 
 
 def explode_words(pattern: str, partitions: int, kind: int):
@@ -102,9 +105,9 @@ def explode_words(pattern: str, partitions: int, kind: int):
     The block's number is a hash of its documents, so both kinds agree however often a task is run.
     """
 
-    def block(splitter: Splitter, ids: list[int | None], docs: list[list[int]], digest: int) -> Iterator[tuple]:
-        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        codes = np.fromiter((c for d in docs for c in d), np.int64, int(lengths.sum()))
+    def block(splitter: Splitter, ids: list[int | None], docs: list[bytes], digest: int) -> Iterator[tuple]:
+        lengths = np.fromiter(map(len, docs), np.int64, len(docs)) // 4
+        codes = np.frombuffer(b"".join(docs), "<u4")
         words = list(splitter.codes)
         order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
         rank = np.empty_like(order)
@@ -126,7 +129,7 @@ def explode_words(pattern: str, partitions: int, kind: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(pattern)
         ids: list[int | None] = []
-        docs: list[list[int]] = []
+        docs: list[bytes] = []
         hashed, size = xxhash.xxh3_64(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -166,7 +169,7 @@ def encode_words(vocabulary: str, pattern: str):
         import tiktoken
 
         encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks(vocabulary), special_tokens={})
-        memo: dict[bytes, list[int]] = {}
+        memo: dict[bytes, bytes] = {}
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob"), strict=True):
                 rank, sizes, joined = unpack(blob.as_py())
@@ -176,10 +179,10 @@ def encode_words(vocabulary: str, pattern: str):
                     memo.clear()
                 for w in words:
                     if w not in memo:
-                        memo[w] = encoding.encode_ordinary(w.decode())
+                        memo[w] = np.array(encoding.encode_ordinary(w.decode()), "<u4").tobytes()
                 ids = [memo[w] for w in words]
-                flat = np.fromiter((i for x in ids for i in x), np.int64)
-                yield rows_of([(block, block, IDS, pack(np.frombuffer(rank, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), np.array([len(x) for x in ids]), flat))])
+                n_ids = np.array([len(x) // 4 for x in ids])
+                yield rows_of([(block, block, IDS, pack(ints(rank), n_ids, np.frombuffer(b"".join(ids), "<u4")))])
 
     return run
 
@@ -257,8 +260,8 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         token = [table.get(i) for i in range(max(table) + 1)]
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("ids"))
-            values, bounds = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
-            joined = [b"".join([token[i] for i in values[a:b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+            joined = [b"".join([token[i] for i in values[a:b].tolist()]) for a, b in pairwise(bounds)]
             yield pa.record_batch([*batch.columns, pa.array(joined, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
