@@ -132,10 +132,10 @@ def threshold_curve(refs: DataFrame, won: DataFrame) -> DataFrame:
 
 
 def best_cut(curve: DataFrame, precision: float = 0.0) -> DataFrame:
-    """The point of greatest macro F0.5, then precision, then threshold, among those precise enough."""
+    """The point of greatest macro F0.5, then precision, then threshold, among those precise enough; no row without one."""
     p = F.round(F.col("tp") / F.col("n"), 9)
     rows = curve.withColumn("precision", p).where(F.col("precision") >= precision)
-    return rows.agg(F.max(F.struct("f", "precision", F.col("p").alias("cut"), "tp", "n")).alias("b")).select("b.*")
+    return rows.agg(F.max(F.struct("f", "precision", F.col("p").alias("cut"), "tp", "n")).alias("b")).where("b IS NOT NULL").select("b.*")
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
