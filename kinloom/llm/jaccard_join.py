@@ -2,16 +2,17 @@
 
 A text's set is its distinct shingles. Texts with the same set form one node, so copies are never compared.
 
-1. All nodes are hashed: size, a bitmap signature (BITS bits; a shingle sets the bit of its hash), and a sketch
-   of how often shingles occur in all documents. Shingles are ordered from rare to frequent by the sketch, then
+1. All nodes are hashed: size, a bitmap signature (a shingle sets the bit of its hash; a large set has more bits,
+   and two signatures are compared at the smaller size), and a sketch of how often shingles occur in all documents. Shingles are ordered from rare to frequent by the sketch, then
    by hash. Two sets that are similar enough share one of their first ``size / 5 + 1`` shingles in this order.
-2. Nodes that share such a shingle form a group, in order of size. Each is first compared with its group's
-   leader only, the last node whose size is too small for the next leader. The links found this way join
-   most groups of near copies into one component, at a cost linear in their size.
+2. Nodes that share such a shingle form a group. Each is first compared with the leaders of about LEADERS of its
+   groups only; a group's leader is its node with the smallest hash of node and shingle, so every group has one
+   of its own. The links found this way join groups of near copies into one component, at a cost linear in
+   their size.
 3. Groups that still hold several components are cut by size into bands of at most TILE nodes; each pair of
    bands whose sizes can match is one tile. Within a tile, bit counts bound the overlap of all pairs from
-   above; those of different components that may be similar enough become candidates. A large group is many
-   tiles of equal cost, none a task of its own.
+   above; those of different components that may be similar enough become candidates, each in the first of
+   the groups that hold both. A large group is many tiles of equal cost, none a task of its own.
 4. Candidates are decided by intersecting the sorted arrays of hashes. Components come from the links.
 
 Hashes of shingles and of sets have 64 bits; nothing else is approximate.
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import stored
 from kinloom.llm.token_files import slices
 
-#: Bits of a signature; counters of the sketch; nodes in a band; bits of the filter of wanted sets, at most.
-BITS, CELLS, TILE, FILTER_BITS = 1024, 1 << 20, 500, 1 << 28
+#: Leaders that a node is compared with, about.
+LEADERS = 20
+#: Bits of a signature, for each shingle and the least and most in all; counters of the sketch; nodes in a band;
+#: bits of the filter of wanted sets, at most.
+SPREAD, LEAST_BITS, MOST_BITS, CELLS, TILE, FILTER_BITS = 4, 1024, 65536, 1 << 20, 500, 1 << 28
 #: Odd multipliers that tell the places of a shingle's words apart; the finishing multipliers of the hash.
 PLACES = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(1, 65)]
 FINISH = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -68,11 +72,19 @@ def set_id(h: np.ndarray) -> int:
 
 
 def signature(h: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[h & np.uint64(BITS - 1)] = True
+    size = LEAST_BITS
+    while size < min(SPREAD * len(h), MOST_BITS):
+        size *= 2
+    bits = np.zeros(size, bool)
+    bits[h & np.uint64(size - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) as the shorter ones of the same sets."""
+    return np.bitwise_or.reduce(words.reshape(len(words), -1, width), axis=1)
+
+
 def cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)) & np.uint64(CELLS - 1)
 
@@ -164,7 +176,7 @@ def shared_prefixes(rows: DataFrame, width: int, levels: np.ndarray) -> DataFram
                 chosen[-1] = False
             out = []
             for t, i, n in x[:, chosen].T.tolist():
-                if leader[0] != t or 5 * leader[2] < 4 * n:
+                if leader[0] != t:
                     leader = (t, i, n)
                 out.append((t, i, n, leader[1], leader[2]))
             if out:
@@ -176,7 +188,7 @@ def shared_prefixes(rows: DataFrame, width: int, levels: np.ndarray) -> DataFram
         rows.select("text")
         .mapInArrow(emit, "token long, id long, n int")
         .repartition(parts, "token")
-        .sortWithinPartitions("token", "n", "id")
+        .sortWithinPartitions("token", F.xxhash64("token", "id"), "id")
     )
     return stored(sorted_rows.mapInArrow(lead, "token long, id long, n int, leader long, leader_n int"), "jaccard-shared")
 
@@ -193,16 +205,23 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (words_of_bits(batch.column(c)) for c in ("a_bits", "b_bits"))
+            differing = []
+            for x, y in zip(batch.column("a_bits"), batch.column("b_bits"), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), "<u8")[None] for v in (x, y))
+                width = min(p.shape[1], q.shape[1])
+                differing.append(int(np.bitwise_count(folded(p, width) ^ folded(q, width)).sum()))
             total = sum(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("an", "bn"))
-            kept = pa.array(may_match(total, np.bitwise_count(x ^ y).sum(1, dtype=np.int64)))
-            yield batch.select(["a", "b"]).filter(kept)
+            yield batch.select(["a", "b"]).filter(pa.array(may_match(total, np.array(differing, np.int64)), pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def words_of_bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), BITS // 64)
+def by_width(column: pa.ChunkedArray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The width of each signature in words; for each width, the rows that have it and their signatures."""
+    blobs = column.to_pylist()
+    widths = np.array([len(b) // 8 for b in blobs])
+    rows = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+    return widths, {w: (at, np.frombuffer(b"".join(blobs[i] for i in at), "<u8").reshape(len(at), w)) for w, at in rows.items()}
 
 
 def may_match(total: np.ndarray, differing: np.ndarray) -> np.ndarray:
@@ -303,12 +322,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def tiles(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within groups that signatures can't rule out."""
+    """Pairs (a, b) of different components within groups that signatures can't rule out, each pair once."""
     placed = shared.select("token", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    members_of = [F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit("second")))]
+    sizes = placed.groupBy("token").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), *[m.alias(f"m{i}") for i, m in enumerate(members_of)]
+    )
+    # Groups of the same members are one.
+    mixed = sizes.where("x < y").groupBy("m0", "m1", "m2").agg(F.min("token").alias("token")).select("token")
     bits = nodes.where("n > 0").groupBy("id").agg(F.min("bits").alias("bits"))
+    open_rows = stored(placed.join(mixed, "token"), "jaccard-open")
+    groups = open_rows.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("groups"))  # n / 5 + 1 at most
+    bits = bits.join(groups, "id")
     rank = F.row_number().over(Window.partitionBy("token").orderBy("n", "id"))
-    banded = placed.join(mixed, "token").withColumn("band", F.floor((rank - 1) / TILE).cast("int"))
+    banded = open_rows.withColumn("band", F.floor((rank - 1) / TILE).cast("int"))
     bands = banded.groupBy("token", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     after = bands.select("token", F.col("band").alias("band_2"), F.col("least").alias("least_2"))
     matching = bands.join(after, "token").where("band <= band_2 AND 5 * most >= 4 * least_2")
@@ -318,25 +345,38 @@ def tiles(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables(batches):
             ids, sizes, part = (table[c].to_numpy().astype(np.int64) for c in ("id", "n", "component"))
-            band, x = table["band"].to_numpy(), words_of_bits(table["bits"])
-            first = table["first"][0].as_py(), table["second"][0].as_py()
+            band, (widths, x) = table["band"].to_numpy(), by_width(table["bits"])
+            row = np.concatenate([np.arange(len(at)) for at, _ in x.values()])[np.argsort(np.concatenate([at for at, _ in x.values()]))]
+            first, token, groups = (table["first"][0].as_py(), table["second"][0].as_py()), table["token"][0].as_py(), table["groups"]
+            lists: dict[int, np.ndarray] = {}
             found = []
             for i in np.flatnonzero(band == first[0]):
                 j = np.flatnonzero((band == first[1]) & (part != part[i]) & ((band != first[0]) | (ids > ids[i])))
                 j = j[5 * np.minimum(sizes[i], sizes[j]) >= 4 * np.maximum(sizes[i], sizes[j])]
-                j = j[may_match(sizes[i] + sizes[j], np.bitwise_count(x[i] ^ x[j]).sum(1, dtype=np.int64))]
-                found += [(min(ids[i], k), max(ids[i], k)) for k in ids[j]]
+                for w, (_, bits_of) in x.items():
+                    k = j[widths[j] == w]
+                    if len(k):
+                        width = min(w, int(widths[i]))
+                        own = folded(x[int(widths[i])][1][row[i]][None], width)
+                        differing = np.bitwise_count(own ^ folded(bits_of[row[k]], width)).sum(1, dtype=np.int64)
+                        k = k[may_match(sizes[i] + sizes[k], differing)]
+                        for m in k.tolist():
+                            for one in (int(i), m):
+                                if one not in lists:
+                                    lists[one] = groups[one].values.to_numpy()
+                            if np.intersect1d(lists[int(i)], lists[m], assume_unique=True)[0] == token:
+                                found.append((min(ids[i], ids[m]), max(ids[i], ids[m])))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     keys = ["token", "first", "second"]
     dealt = (
-        members.select("token", F.col("tile.band").alias("first"), F.col("tile.band_2").alias("second"), "band", "id", "n", "component", "bits")
+        members.select("token", F.col("tile.band").alias("first"), F.col("tile.band_2").alias("second"), "band", "id", "n", "component", "bits", "groups")
         .repartition(*keys)
         .sortWithinPartitions(*keys)
     )
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -373,7 +413,8 @@ def join_components(docs: DataFrame, width: int = 5) -> DataFrame:
     nodes = make_nodes(rows, width)
     shared = shared_prefixes(rows, width, frequency_levels(nodes))
     own = nodes.where("key IS NOT NULL")
-    led = shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("leader_n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
+    few = F.pmod(F.xxhash64("token"), F.greatest(F.lit(1), F.floor(F.col("n") / (5 * LEADERS)))) == 0
+    led = shared.where("id <> leader").where(few).select(F.col("leader").alias("a"), F.col("leader_n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
     found = links(possible(led, own), rows, width)
     labels = components(found)
     across = stored(tiles(shared, labels, own), "jaccard-across")
