@@ -30,7 +30,7 @@ FORMAT = {
     "parquet.page.row.count.limit": "4000",
 }
 #: Characters of text that are encoded at once, and chunks that a worker remembers.
-SLICE_CHARS, REMEMBERED = 1_000_000, 250_000
+SLICE_CHARS, REMEMBERED = 1_000_000, 400_000
 #: Marks that often end a chunk: neither letters, digits nor white space, and no apostrophe.
 MARKS = ".,;:!?)]}\"#$%&*+-/<=>@\\^_`|~"
 
@@ -184,7 +184,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
         .agg(F.sum("n_tokens").alias("in_part"))
         .select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("base"))
     )
-    return rows.join(parts, "part").select(
+    return rows.join(F.broadcast(parts), "part").select(  # two numbers for each part of the files
         "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", *["ids"] * ids
     )
 
