@@ -88,7 +88,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, features: Fea
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, texts in slices(batch, "text"):
-                made = [np.array(sorted(features(t)), "<i8").tobytes() for t in texts]
+                made = [np.array(sorted(features(t)), "<u4").tobytes() for t in texts]
                 yield pa.record_batch(
                     [piece.column("doc_id"), piece.column("label"), pa.array(made, pa.binary())],
                     names=["doc_id", "label", "features"],
@@ -102,7 +102,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, features: Fea
         .orderBy(F.xxhash64("doc_id"), "doc_id", "features")
         .limit(most)
     )
-    return [(r.label, np.frombuffer(r.features, "<i8")) for r in rows.toLocalIterator()]
+    return [(r.label, np.frombuffer(r.features, "<u4")) for r in rows.toLocalIterator()]
 
 
 def score_texts(docs: DataFrame, model: LinearModel, features: Features, keep_text: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kinloom.llm.linear_text import LinearModel, Matrix, Memo, counted, labelled_sample, score_texts
 
 #: Confirmed toxic and unlabelled rows that a model is fitted on, at most; features that it may use.
-POSITIVES, UNLABELLED, FEATURES = 4_000, 12_000, 20_000
+POSITIVES, UNLABELLED, FEATURES = 2_000, 12_000, 20_000
 
 
 def token_features(token: str) -> tuple[int, ...]:
