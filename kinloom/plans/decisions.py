@@ -288,9 +288,11 @@ t AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY sr
 m AS (SELECT t.* FROM t JOIN t u ON u.src = t.dst AND u.dst = t.src)"""
 
 
-def edges(s, d):
+def edges(s, d, whole=False):
+    """Edges between targets of a block; the SQL's weights see the first 120 characters, whole ones all words."""
     t = part(s, d, "targets")
-    tokens = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 120)), " "), lambda w: w != ""))
+    body = F.col("text") if whole else F.substring("text", 1, 120)
+    tokens = F.array_distinct(F.filter(F.split(F.lower(body), " "), lambda w: w != ""))
     rows = t.select(F.col("tid").alias("id"), F.col("sr").alias("source"), F.concat("co", F.lit(" "), F.substring("text", 1, 14)).alias("k"), tokens.alias("tokens"))
     return graph.mutual_neighbours(graph.block_edges(rows, "k", 16), 4)
 
@@ -308,7 +310,7 @@ def graph_seeds(s, d):
 
 @query()
 def graph_messages(s, d):
-    out = graph.propagate(part(s, d, "pairs"), edges(s, d))
+    out = graph.propagate(part(s, d, "pairs"), edges(s, d, whole=True))
     return out.select("tid", "qid", *[F.round(c, 6).alias(c) for c in ("prior", "posterior", "outside")])
 
 
@@ -317,6 +319,16 @@ def graph_components(s, d):
     return graph.components(edges(s, d))
 
 
+@query()
+def graph_mutual_topk_whole(s, d):
+    return edges(s, d, whole=True)
+
+
+@query()
+def graph_components_whole(s, d):
+    return graph.components(edges(s, d, whole=True))
+
+
 # learned scores and incremental runs
 
 

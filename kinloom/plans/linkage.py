@@ -9,7 +9,7 @@ from kinloom.functions import similarity, text
 from kinloom.operators import blocking, compete, decide, relational
 from kinloom.plans.decisions import FH, MACRO, WON, fh, won
 from kinloom.plans.fixtures import FX, part, read
-from kinloom.plans.textual import NAMES, SIDES, TFIDF, names, sides, sql_basic, sql_words
+from kinloom.plans.textual import NAMES, SIDES, TFIDF, names, sides, sql_basic, sql_words, whole_pair_texts, whole_sides
 
 REGISTRY: dict = {}
 
@@ -103,7 +103,16 @@ m AS (SELECT p.qid, p.tid, sum(idf) AS m, max(idf) AS rarest FROM pairs p JOIN q
 SELECT p.qid, p.tid, round(coalesce(m, 0) / q.s, 6) AS ref_cover, round(coalesce(m, 0) / t.s, 6) AS target_cover, round(coalesce(rarest, 0), 6) AS rarest_shared FROM pairs p JOIN q USING (qid) JOIN t USING (tid) LEFT JOIN m ON m.qid = p.qid AND m.tid = p.tid""")
 def sim_idf_overlap(s, d):
     """Shares of rarity-weighted words that two texts have in common, and their rarest common word."""
-    q, t = sides(s, d)
+    return idf_overlap(s, d, *sides(s, d))
+
+
+@query()
+def sim_idf_overlap_whole(s, d):
+    """sim_idf_overlap over all words of both texts."""
+    return idf_overlap(s, d, *whole_sides(s, d))
+
+
+def idf_overlap(s, d, q, t):
     n = part(s, d, "refs").count() + part(s, d, "targets").count()
     idf = q.select("token").unionAll(t.select("token")).groupBy("token").agg((F.ln(F.lit(float(n + 1)) / (F.count("*") + 1)) + 1).alias("idf"))
     q, t = q.join(idf, "token"), t.join(idf.withColumnRenamed("idf", "idf2"), "token")
@@ -237,13 +246,11 @@ def policy_add_utility(s, d):
 
 @query()
 def feat_text_contract(s, d):
-    """Lengths, exact flags, word overlap and ratios of each pair's short texts."""
-    r = part(s, d, "refs").select("qid", F.lower(F.substring("text", 1, 40)).alias("a"))
-    t = part(s, d, "targets").select("tid", F.lower(F.substring("text", 1, 40)).alias("b"))
-    x = part(s, d, "pairs").select("qid", "tid").join(r, "qid").join(t, "tid")
+    """Lengths, exact flags, word overlap and ratios of each pair's whole texts."""
+    x = whole_pair_texts(s, d).select("qid", "tid", F.lower("a").alias("a"), F.lower("b").alias("b"))
     o = similarity.overlap(text.words(F.col("a")), text.words(F.col("b")))
     return x.select(
         "qid", "tid", (F.col("a") == F.col("b")).cast("int").alias("equal"), (F.length("a") - F.length("b")).alias("length_gap"),
         *[F.round(c, 6).alias(n) for n, c in o.items()], F.round(similarity.jaro_winkler_of("a", "b"), 6).alias("jw"),
-        F.round(similarity.token_set_of("a", "b"), 6).alias("token_set"), similarity.hamming(F.left("a", F.lit(6)), F.left("b", F.lit(6))).alias("hamming"),
+        F.round(similarity.token_set_of("a", "b"), 6).alias("token_set"), similarity.hamming(F.col("a"), F.col("b")).alias("hamming"),
     )

@@ -43,7 +43,8 @@ def norm_basic(s, d):
 
 @query()
 def norm_compatible(s, d):
-    return names(s, d).select("id", text.basic(text.compatible("nm")).alias("nm"), text.folded(F.col("nm")).alias("folded"))
+    rows = read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rows.select("id", text.basic(text.compatible("text")).alias("nm"), text.folded(F.col("text")).alias("folded"))
 
 
 SKELETON = "token"
@@ -124,7 +125,7 @@ def sorted_token_key(s, d):
     return read(s, d, "part").select("p_partkey", text.sorted_tokens(n).alias("key"), text.initials(n).alias("initials"))
 
 
-# similarity: each pair's texts are the first 60 characters
+# similarity: the SQL's texts are the first 40 characters; queries without SQL read whole texts
 
 PAIRS = f"{FX}, x AS (SELECT p.qid, p.tid, substr(r.text, 1, 40) AS a, substr(t.text, 1, 40) AS b FROM pairs p JOIN refs r ON r.qid = p.qid JOIN targets t ON t.tid = p.tid)"
 
@@ -135,6 +136,14 @@ def pair_texts(s, d):
     return part(s, d, "pairs").select("qid", "tid").join(r, "qid").join(t, "tid")
 
 
+def whole_pair_texts(s, d):
+    """Each pair with both texts, dealt out evenly: comparing them takes far longer than reading them."""
+    r = part(s, d, "refs").select("qid", F.col("text").alias("a"))
+    t = part(s, d, "targets").select("tid", F.col("text").alias("b"))
+    x = part(s, d, "pairs").select("qid", "tid").join(r, "qid").join(t, "tid")
+    return x.repartition(8 * s.sparkContext.defaultParallelism, "qid", "tid")
+
+
 @query("""WITH n AS (SELECT DISTINCT p_name AS a FROM part), r AS (SELECT a, row_number() OVER (ORDER BY a) AS i FROM n)
 SELECT x.a, y.a AS b, levenshtein(x.a, y.a) AS distance, round(jaro_winkler_similarity(x.a, y.a), 6) AS jw FROM r x JOIN r y ON y.i BETWEEN x.i + 1 AND x.i + 5""")
 def sim_levenshtein_jaro_winkler(s, d):
@@ -149,7 +158,7 @@ def sim_levenshtein_jaro_winkler(s, d):
 
 @query()
 def sim_ratios(s, d):
-    x = pair_texts(s, d)
+    x = whole_pair_texts(s, d)
     named = {"ratio": similarity.ratio_of, "sort": similarity.token_sort_of, "set": similarity.token_set_of, "partial": similarity.partial_of}
     return x.select("qid", "tid", *[F.round(f("a", "b"), 6).alias(n) for n, f in named.items()], similarity.subsequence_of("a", "b").alias("inside"))
 
@@ -166,6 +175,14 @@ def sim_token_sets(s, d):
     return x.select("qid", "tid", *[F.round(c, 6).alias(n) for n, c in o.items()])
 
 
+@query()
+def sim_token_sets_whole(s, d):
+    """sim_token_sets over all words of both texts."""
+    x = whole_pair_texts(s, d)
+    o = similarity.overlap(text.words(F.lower("a")), text.words(F.lower("b")))
+    return x.select("qid", "tid", *[F.round(c, 6).alias(n) for n, c in o.items()])
+
+
 @query("""WITH r AS (SELECT DISTINCT p_name AS a FROM part), g AS (SELECT a, list_distinct(list_transform(range(1, greatest(length(a) - 1, 1)), lambda i: substr(a, i, 3))) AS g FROM r),
 p AS (SELECT x.a, y.a AS b, x.g AS gx, y.g AS gy FROM g x JOIN g y ON left(x.a, 3) = left(y.a, 3) AND x.a < y.a)
 SELECT a, b, round(len(list_intersect(gx, gy)) / (len(gx) + len(gy) - len(list_intersect(gx, gy))), 6) AS jaccard FROM p""")
@@ -199,6 +216,12 @@ def sides(s, d):
     return q, part(s, d, "targets").select("tid", F.explode(F.array_distinct(w)).alias("token"))
 
 
+def whole_sides(s, d):
+    w = F.array_distinct(text.words(F.lower("text")))
+    q = part(s, d, "refs").select("qid", F.explode(w).alias("token"))
+    return q, part(s, d, "targets").select("tid", F.explode(w).alias("token"))
+
+
 TFIDF = f"""{SIDES}, df AS (SELECT token, count(*) AS df FROM qt GROUP BY 1 HAVING count(*) BETWEEN 1 AND 40),
 idf AS (SELECT token, ln((SELECT count(DISTINCT qid) FROM qt) + 1.0) - ln(df + 1) + 1 AS idf FROM df),
 qw AS (SELECT qid, token, idf / sqrt(sum(idf * idf) OVER (PARTITION BY qid)) AS w FROM qt JOIN idf USING (token)),
@@ -246,6 +269,13 @@ def block_rare_witness(s, d):
     return blocking.rare_witnesses(t, q, 8, 64)
 
 
+@query()
+def block_rare_witness_whole(s, d):
+    """block_rare_witness over all words of both texts."""
+    q, t = whole_sides(s, d)
+    return blocking.rare_witnesses(t, q, 8, 64)
+
+
 @query(f"""{FX}, a AS (SELECT tid, qid, row_number() OVER (PARTITION BY tid ORDER BY p DESC, qid) AS r FROM pairs),
 b AS (SELECT tid, qid, row_number() OVER (PARTITION BY tid ORDER BY raw DESC, qid) AS r FROM pairs)
 SELECT tid, qid, round(sum(1 / (20 + r)), 9) AS rrf FROM (SELECT * FROM a WHERE r <= 3 UNION ALL SELECT * FROM b WHERE r <= 3) GROUP BY ALL""")
