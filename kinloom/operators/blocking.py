@@ -37,6 +37,26 @@ def cosine_top_k(queries: DataFrame, refs: DataFrame, k: int, least: float = 0.0
     return compete.top_k(scores, "tid", k, F.desc("score"), F.asc("qid"))
 
 
+def share_cap(n: int, least: int = 1) -> int:
+    """References that may share a token which makes candidates: 3 % of all n, 2,000 at most."""
+    return max(least, min(2000, n * 3 // 100))
+
+
+def cosine_all_tokens(targets: DataFrame, refs: DataFrame, makers: DataFrame) -> DataFrame:
+    """(tid, qid, score): cosine over all tokens (tid|qid, token, w) of the pairs that share a token of makers (token)."""
+    marked = refs.withColumnRenamed("w", "b").join(makers.select("token", F.lit(1).alias("makes")), "token", "left")
+    both = targets.withColumnRenamed("w", "a").join(marked, "token")
+    sums = both.groupBy("tid", "qid").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("score"), F.max("makes").alias("makes"))
+    return sums.where("makes = 1").select("tid", "qid", "score")
+
+
+def cosine_of_pairs(pairs: DataFrame, targets: DataFrame, refs: DataFrame) -> DataFrame:
+    """(tid, qid, score): cosine over all tokens of given pairs; 0 where they share none."""
+    a, b = targets.withColumnRenamed("w", "a"), refs.withColumnRenamed("w", "b")
+    sums = pairs.join(a, "tid").join(b, ["qid", "token"]).groupBy("tid", "qid").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("score"))
+    return pairs.join(sums, ["tid", "qid"], "left").select("tid", "qid", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def exact_keys(targets: DataFrame, refs: DataFrame, keys: list[str], most_owners: int | None = None) -> DataFrame:
     """Pairs with equal keys; with most_owners, only keys that so many references share at most."""
     if most_owners is not None:

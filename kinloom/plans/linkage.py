@@ -9,7 +9,7 @@ from kinloom.functions import similarity, text
 from kinloom.operators import blocking, compete, decide, relational
 from kinloom.plans.decisions import FH, MACRO, WON, fh, won
 from kinloom.plans.fixtures import FX, part, read
-from kinloom.plans.textual import NAMES, SIDES, TFIDF, names, sides, sql_basic, sql_words, whole_pair_texts, whole_sides
+from kinloom.plans.textual import NAMES, SIDES, TFIDF, names, sides, sql_basic, sql_words, tfidf_weights, whole_pair_texts, whole_postings, whole_sides
 
 REGISTRY: dict = {}
 
@@ -87,6 +87,23 @@ def block_rescore(s, d):
     return pairs.join(kept, ["tid", "qid"], "left").select("tid", "qid", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+@query()
+def block_char_ngram_whole(s, d):
+    """block_char_ngram_cosine over whole texts: grams of up to 3 % of the references make candidates, all of two or more count."""
+    n = F.length("text")
+    places = F.when(n >= 4, F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    q, t = (part(s, d, x).select(k, "text", F.explode(places).alias("i")).select(k, F.expr("substring(text, i, 4)").alias("token")) for x, k in (("refs", "qid"), ("targets", "tid")))
+    q, t = (x.groupBy(k, "token").agg(F.count("*").alias("tf")) for x, k in ((q, "qid"), (t, "tid")))
+    return compete.top_k(blocking.cosine_all_tokens(*tfidf_weights(q, t, 2)), "tid", 3, F.desc("score"), F.asc("qid"))
+
+
+@query()
+def block_rescore_whole(s, d):
+    """The cosine by all words of every given pair; no word is too common to count."""
+    t, q, _ = tfidf_weights(*whole_postings(s, d))
+    return blocking.cosine_of_pairs(part(s, d, "pairs").select("tid", "qid"), t, q)
+
+
 @query(f"""{FX}, r AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY p DESC, qid) AS a, row_number() OVER (PARTITION BY tid ORDER BY raw DESC, qid) AS b FROM pairs)
 SELECT qid, tid, a > 2 AS rescued FROM r WHERE a <= 2 OR b <= 1""")
 def block_view_rescue(s, d):

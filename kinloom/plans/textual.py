@@ -249,6 +249,43 @@ def block_recall_at_k(s, d):
     return blocking.recall_at(rows, part(s, d, "targets"), [1, 3, 5])
 
 
+def tfidf_weights(q, t, least=1):
+    """Weights of all tokens of both sides that references have, and the tokens that may make candidates."""
+    idf = blocking.smoothed_idf(q, "qid", least)
+    most = blocking.share_cap(q.select("qid").distinct().count(), least)
+    tokens = idf.select("token", "idf")
+    return blocking.weighted(t, "tid", tokens), blocking.weighted(q, "qid", tokens), idf.where(F.col("df") <= most)
+
+
+def whole_postings(s, d):
+    return [blocking.postings(x, k, F.array("token")) for x, k in zip(whole_sides(s, d), ("qid", "tid"), strict=True)]
+
+
+def whole_tfidf(s, d, k):
+    scored = blocking.cosine_all_tokens(*tfidf_weights(*whole_postings(s, d)))
+    return compete.top_k(scored, "tid", k, F.desc("score"), F.asc("qid"))
+
+
+@query()
+def block_token_tfidf_whole(s, d):
+    """The five best by all words; words of up to 3 % of the references (2,000) make candidates, and all words count in scores."""
+    return whole_tfidf(s, d, 5)
+
+
+@query()
+def block_recall_whole(s, d):
+    rows = compete.ranked(whole_tfidf(s, d, 5), "tid", F.desc("score"), F.asc("qid"))
+    return blocking.recall_at(rows, part(s, d, "targets"), [1, 3, 5])
+
+
+@query()
+def block_exact_whole(s, d):
+    """Equal whole texts in a country, of up to eight references."""
+    k = F.xxhash64("text").alias("k")
+    rows = [part(s, d, n).select(i, "co", "text", k) for n, i in (("targets", "tid"), ("refs", "qid"))]
+    return blocking.exact_keys(*rows, ["co", "k", "text"], 8)
+
+
 @query(f"{FX} SELECT t.tid, r.qid FROM targets t JOIN refs r ON r.co = t.co AND substr(r.text, 1, 30) = substr(t.text, 1, 30)")
 def block_exact_keys(s, d):
     k = F.substring("text", 1, 30).alias("k")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinloom.functions import similarity
-from kinloom.plans import catalogue
+from kinloom.operators import blocking
+from kinloom.plans import catalogue, fixtures
 
 #: The first 240 characters are alike, so that whatever tells the texts apart comes after them.
 HEAD = " ".join(f"common{i:02d}" for i in range(27))[:240]
@@ -100,3 +103,57 @@ def test_normalised_texts_and_edges_are_whole(spark, sf):
         x, y = set(texts[e.src].split()), set(texts[e.dst].split())
         assert e.weight == round(len(x & y) / len(x | y), 6) < 1
     assert catalogue.queries()["graph_components_whole"](spark, sf).count() == len({e.src for e in edges})
+
+
+def cosines(refs, targets, tokens, least):
+    """Cosine by all tokens that references have, and whether a token of few enough references is shared."""
+    counts = {k: Counter(tokens(t)) for k, t in (refs | targets).items()}
+    df = Counter(w for q in refs for w in counts[q])
+    idf = {w: math.log((len(refs) + 1) / (n + 1)) + 1 for w, n in df.items() if n >= least}
+
+    def vector(key):
+        v = {w: (1 + math.log(n)) * idf[w] for w, n in counts[key].items() if w in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    most, vectors = max(least, min(2000, len(refs) * 3 // 100)), {k: vector(k) for k in counts}
+    out = {}
+    for t in targets:
+        for q in refs:
+            x, y = vectors[q], vectors[t]
+            out[t, q] = round(sum(w * y[k] for k, w in x.items() if k in y), 6), any(df[k] <= most for k in x.keys() & y.keys())
+    return out
+
+
+@pytest.fixture
+def many(spark, tmp_path):
+    """Sixty references of which all share common words, and copies with late changes."""
+    r = random.Random(3)
+    texts = {i: f"{i:03d} {HEAD} rare{i} pair{i // 2} mid{i % 3} {' '.join(r.choice(['x', 'y', 'z']) for _ in range(5))}" for i in range(60)}
+    texts |= {100 + i: f"{texts[i]} late{i}" for i in range(1, 60, 7)}
+    rows = [(i, t, "en", "x", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path), texts
+
+
+def test_common_words_count_in_scores_but_make_no_candidates(spark, many):
+    path, texts = many
+    sides = {n: {r[0]: texts[r[0]] for r in fixtures.part(spark, path, n).collect()} for n in ("refs", "targets")}
+    for name, tokens, least, k in (
+        ("block_char_ngram_whole", lambda t: [t[i : i + 4] for i in range(len(t) - 3)], 2, 3),
+        ("block_token_tfidf_whole", lambda t: set(t.split()), 1, 5),
+    ):
+        want = cosines(sides["refs"], sides["targets"], tokens, least)
+        got = {(r.tid, r.qid): r.score for r in catalogue.queries()[name](spark, path).collect()}
+        for t in sides["targets"]:
+            best = sorted(-s for (u, q), (s, near) in want.items() if u == t and near)[:k]
+            assert sorted(-s for (u, q), s in got.items() if u == t) == pytest.approx(best, abs=2e-6)
+        assert got == pytest.approx({p: want[p][0] for p in got}, abs=2e-6) and all(want[p][1] for p in got)
+    again = {(r.tid, r.qid): r.score for r in catalogue.queries()["block_rescore_whole"](spark, path).collect()}
+    assert again == pytest.approx({k: want[k][0] for k in again}, abs=2e-6) and min(again.values()) > 0
+    recall = catalogue.queries()["block_recall_whole"](spark, path).collect()
+    assert {r.k: r.recall for r in recall} == {1: 1, 3: 1, 5: 1}
+
+
+def test_cap_grows_with_the_input():
+    assert [blocking.share_cap(n) for n in (10, 1000, 8524, 10**6)] == [1, 30, 255, 2000] and blocking.share_cap(10, 2) == 2
