@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.operators import compete
@@ -35,31 +35,52 @@ def block_edges(rows: DataFrame, key: str, most: int) -> DataFrame:
     return pairs.select(F.col("id").alias("src"), "dst", F.round(both / (F.size("tokens") + F.size("t2") - both), 6).alias("weight"))
 
 
-def propagate(pairs: DataFrame, edges: DataFrame, rounds: int = 3, strength: float = 0.8, damping: float = 0.35, clip: float = 3.0) -> DataFrame:
+def summed(messages: DataFrame, by: str, clip: float) -> DataFrame:
+    """Signals, weights, neighbours and original seeds that arrive at by, for each owner."""
+    logit = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.ln(compete.odds(F.col("message"), 1e-5))))
+    return messages.groupBy(by, "qid").agg(
+        F.sum(logit * F.col("weight")).alias("signal"), F.sum("weight").alias("heavy"), F.count("*").alias("n"), F.sum("seed").alias("seeds")
+    )
+
+
+def shifted(signal: Column, heavy: Column, n: Column, seeds: Column, most: float) -> Column:
+    """Weighted mean within +-most; 0 with fewer than two neighbours, and if positive with fewer than two seeds."""
+    mean = signal / F.greatest(heavy, F.lit(1e-9))
+    return F.when((n >= 2) & ((mean <= 0) | (seeds >= 2)), F.greatest(F.lit(-most), F.least(F.lit(most), mean))).otherwise(0.0)
+
+
+def propagate(
+    pairs: DataFrame, edges: DataFrame, rounds: int = 3, strength: float = 0.8, damping: float = 0.35, clip: float = 3.0,
+    most: float = 2.0, sure: float = 0.8,
+) -> DataFrame:
     """Ownership after messages along edges; each message leaves out what came back over its own edge.
 
-    pairs: (tid, qid, p). A round sends, over src to dst, the log odds of src's owner against its prior, less
-    dst's own last message, clipped; a target adds the weighted mean of what arrives, damped. Returns
-    (tid, qid, prior, posterior, outside); posteriors of a target and the mass outside sum to 1.
+    pairs: (tid, qid, p). A message over src to dst is src's share of an owner, at first that of p; a round moves
+    it, damped, towards the share after what src's other neighbours say. They say the weighted mean of their log
+    odds, each within +-clip and the mean within +-most; fewer than two neighbours say nothing, and nothing in
+    favour unless two of them were sure at the start. All owners of a target send; checkpoints cut lineage. Returns (tid, qid, prior,
+    posterior, outside); posteriors of a target and the mass outside sum to 1.
     """
-    base = pairs.select("tid", "qid", F.ln(compete.odds(F.col("p"))).alias("prior_logit"))
-    state = base.withColumn("logit", F.col("prior_logit"))
-    sent = None
+    base = compete.ownership(pairs.select("tid", "qid", "p"), "tid", "p").select("tid", "qid", compete.odds(F.col("p")).alias("odds"), F.col("prior").alias("share")).checkpoint()
+    first = base.withColumnRenamed("tid", "src")
+    messages = edges.select("src", "dst", "weight").join(first, "src").select(
+        "src", "dst", "qid", "weight", "odds", F.col("share").alias("message"), (F.col("share") >= sure).cast("long").alias("seed")
+    ).checkpoint()
+    sums = ("signal", "heavy", "n", "seeds")
     for _ in range(rounds):
-        out = edges.join(state.select(F.col("tid").alias("src"), "qid", "logit"), "src")
-        if sent is not None:
-            back = sent.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "qid", F.col("message").alias("echo"))
-            out = out.join(back, ["src", "dst", "qid"], "left")
-        else:
-            out = out.withColumn("echo", F.lit(0.0))
-        cavity = F.col("logit") - strength * F.coalesce("echo", F.lit(0.0))
-        sent = out.select("src", "dst", "qid", "weight", F.greatest(F.lit(-clip), F.least(F.lit(clip), cavity)).alias("message"))
-        mean = (F.sum(F.col("weight") * F.col("message")) / F.sum("weight")).alias("shift")
-        shift = sent.groupBy(F.col("dst").alias("tid"), "qid").agg(mean)
-        moved = F.col("prior_logit") + strength * F.coalesce("shift", F.lit(0.0))
-        state = state.join(shift, ["tid", "qid"], "left").select("tid", "qid", "prior_logit", (damping * F.col("logit") + (1 - damping) * moved).alias("logit"))
-    out = state.select("tid", "qid", (1 / (1 + F.exp(-F.col("prior_logit")))).alias("prior"), (1 / (1 + F.exp(-F.col("logit")))).alias("p"))
-    return compete.ownership(out.withColumnRenamed("prior", "start"), "tid", "p").select("tid", "qid", F.col("start").alias("prior"), F.col("prior").alias("posterior"), "outside")
+        incoming = summed(messages, "dst", clip).withColumnRenamed("dst", "src")
+        back = summed(messages.withColumn("edge", F.struct("src", "dst")), "edge", clip)
+        back = back.select(F.col("edge.dst").alias("src"), F.col("edge.src").alias("dst"), "qid", *[F.col(c).alias(f"own_{c}") for c in sums])
+        out = messages.join(incoming, ["src", "qid"], "left").join(back, ["src", "dst", "qid"], "left").na.fill(0, [*sums, *[f"own_{c}" for c in sums]])
+        moved = F.col("odds") * F.exp(strength * shifted(*[F.col(c) - F.col(f"own_{c}") for c in sums], most))
+        out = out.withColumn("moved", moved)
+        share = F.col("moved") / (1 + F.sum("moved").over(Window.partitionBy("src", "dst")))
+        messages = out.select("src", "dst", "qid", "weight", "odds", ((1 - damping) * F.col("message") + damping * share).alias("message"), "seed").checkpoint()
+    incoming = summed(messages, "dst", clip).withColumnRenamed("dst", "tid")
+    out = base.join(incoming, ["tid", "qid"], "left").na.fill(0, [*sums])
+    after = F.col("odds") * F.exp(damping * strength * shifted(*map(F.col, sums), most))
+    out = out.select("tid", "qid", (F.col("odds") / (1 + F.col("odds"))).alias("start"), (after / (1 + after)).alias("p"))
+    return compete.ownership(out, "tid", "p").select("tid", "qid", F.col("start").alias("prior"), F.col("prior").alias("posterior"), "outside")
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
