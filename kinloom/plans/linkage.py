@@ -199,6 +199,13 @@ def region_lookup(s, d):
     return read(s, d, "customer").join(known, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("")).alias("region"))
 
 
+@query("""SELECT c_custkey, coalesce(n_name, '') AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def region_lookup_all(s, d):
+    """region_lookup with all that the table knows."""
+    known = read(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return read(s, d, "customer").join(known, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("")).alias("region"))
+
+
 @query(f"""{FX}, h AS (SELECT qid, tid, y, row_number() OVER (PARTITION BY tid ORDER BY p DESC, qid) AS hard, row_number() OVER (PARTITION BY tid ORDER BY (qid * 2654435761 % 4294967296), qid) AS chance FROM pairs WHERE y = 0)
 SELECT qid, tid, 1 AS y FROM pairs WHERE y = 1 UNION ALL SELECT qid, tid, 0 FROM h WHERE hard <= 1 OR chance <= 1""")
 def training_pairs(s, d):

@@ -71,6 +71,13 @@ def name_tokens_classified(s, d):
     return rows.select(F.explode(text.words(text.basic(F.col("nm")))).alias("token")).distinct().select("token", text.kind(F.col("token")).alias("kind"))
 
 
+@query()
+def name_tokens_classified_all(s, d):
+    """name_tokens_classified over the whole texts of all documents, whatever their language."""
+    w = text.words(text.basic(F.col("text")))
+    return read(s, d, "documents").select(F.explode(w).alias("token")).distinct().select("token", text.kind(F.col("token")).alias("kind"))
+
+
 #: Addresses made of ids, the same in both engines.
 ADDRESS = "concat('0', {k} % 97, ' - ', {k} % 97 + {k} % 5, ' main street, floor ', {k} % 7, 'th road')"
 

@@ -157,3 +157,13 @@ def test_common_words_count_in_scores_but_make_no_candidates(spark, many):
 
 def test_cap_grows_with_the_input():
     assert [blocking.share_cap(n) for n in (10, 1000, 8524, 10**6)] == [1, 30, 255, 2000] and blocking.share_cap(10, 2) == 2
+
+
+def test_all_languages_and_all_nations(spark, tmp_path):
+    docs = [(1, "acme limited", "en"), (2, "la casa gmbh", "es"), (3, "und", "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "A"), (1, "B")], "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(7, 0), (8, 1), (9, 5), (10, None)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {n: dict(map(tuple, catalogue.queries()[n](spark, str(tmp_path)).collect())) for n in ("name_tokens_classified_all", "region_lookup_all")}
+    assert got["name_tokens_classified_all"] == {"acme": 0, "limited": 1, "la": 2, "casa": 0, "gmbh": 1, "und": 2}
+    assert got["region_lookup_all"] == {7: "A", 8: "B", 9: "", 10: ""}
