@@ -30,16 +30,14 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id.
+    """One document of each group of near duplicates stays: that with the smallest doc_id, and of equal ids the first.
 
-    Repeated rows of that document are one: the row that comes first stays. Rows without id have no group.
+    A row without id stays only where its whole group has none: the group's first. Rows without words have no group.
     """
     rows = common.pick(docs, **COLUMNS)
-    groups = jaccard_join.join_components(rows).where("doc_id = component_id")
-    first = groups.groupBy("doc_id").agg(F.min("key").alias("key"))
+    first = jaccard_join.linked_rows(rows).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row"))
     numbered = rows.withColumn("key", F.monotonically_increasing_id())
-    single = numbered.join(first.select("key"), "key", "left_semi")
-    return single.unionByName(numbered.where("doc_id IS NULL")).select(*COLUMNS)
+    return numbered.join(first.select("row.key"), "key", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import stored
@@ -407,6 +407,28 @@ def join_components(docs: DataFrame, width: int = 5) -> DataFrame:
     linked, repeated rows too. A row without id takes part but gives no component its id; a component of such
     rows only has none. An empty table gives no rows.
     """
+    placed = placed_rows(docs, width)
+    least = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return (
+        placed.withColumn("join_key", spread())
+        .join(least.withColumnRenamed("component", "join_key"), "join_key", "left")
+        .select("key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    )
+
+
+def linked_rows(docs: DataFrame, width: int = 5) -> DataFrame:
+    """key, doc_id and group of each row of docs: linked rows have equal groups, whatever their ids; a row without a set is alone."""
+    alone = F.col("n") == 0
+    return placed_rows(docs, width).select("key", "doc_id", F.struct(alone.alias("alone"), F.when(alone, F.col("key")).otherwise(F.col("component")).alias("of")).alias("group"))
+
+
+def spread() -> Column:
+    """Rows without a set get keys of their own, so that they don't meet in one partition."""
+    return F.coalesce("component", F.xxhash64("key"))
+
+
+def placed_rows(docs: DataFrame, width: int) -> DataFrame:
+    """key, doc_id, n (shingles), id (of the set) and component of each row of docs; component is null without a set."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")
     )
@@ -420,12 +442,4 @@ def join_components(docs: DataFrame, width: int = 5) -> DataFrame:
     across = stored(tiles(shared, labels, own), "jaccard-across")
     if not across.isEmpty():
         labels = components(found.unionByName(links(across, rows, width)))
-    placed = own.select("key", "doc_id", "n", "id").join(labels, "id", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")))
-    least = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    # Rows without a set get keys of their own, so that they don't meet in one partition.
-    spread = F.coalesce("component", F.xxhash64("key"))
-    return (
-        placed.withColumn("join_key", spread)
-        .join(least.withColumnRenamed("component", "join_key"), "join_key", "left")
-        .select("key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    return own.select("key", "doc_id", "n", "id").join(labels, "id", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")))
