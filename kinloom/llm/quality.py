@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kinloom.llm.linear_text import LinearModel, Matrix, Memo, counted, labelled_sample, score_texts
 
 #: Labelled rows that a model is fitted on, at most.
-SAMPLE = 8_000
+SAMPLE = 16_000
 #: Shares of a text's n-grams from which one more indicator is set.
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 
