@@ -53,14 +53,35 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write the rows to the shared folder once and return a scan of them; cuts the lineage."""
     path = shared_dir(df.sparkSession, name)
     df.write.options(compression="zstd", **options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    scan = df.sparkSession.read.schema(df.schema).parquet(path)
+    scan._kinloom_path = path
+    return scan
+
+
+def discard(*scans: DataFrame) -> None:
+    """Delete the files of scans that stored() returned and that nothing will read again."""
+    for scan in scans:
+        _delete(scan.sparkSession, scan._kinloom_path)
+        _written.remove((scan.sparkSession, scan._kinloom_path))
+
+
+def keyed(docs: DataFrame, **columns: str) -> DataFrame:
+    """The named columns of docs with a column key, a number that tells rows apart; kept on disk.
+
+    monotonically_increasing_id() depends on how a scan packs files into splits, which another scan of the same
+    files may do in another way. So keys are written down once, and all later steps read the written ones.
+    """
+    return stored(pick(docs, **columns).withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             return

@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.linear_text import LinearModel, Matrix, Memo, counted, labelled_sample, score_texts
+from kinloom.llm.linear_text import LinearModel, Matrix, Memo, counted, fit_in_a_task, labelled_sample, score_texts
 
-#: Labelled rows that a model is fitted on, at most.
-SAMPLE = 16_000
+#: Labelled rows that a model is fitted on, at most; of these, how many must hold a feature for it to have a weight.
+SAMPLE, LEAST_ROWS = 16_000, 3
 #: Shares of a text's n-grams from which one more indicator is set.
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 
@@ -33,7 +33,7 @@ def token_shape(token: str) -> str:
         run = m[0]
         return "A" if run.isupper() else "Aa" if run[0].isupper() else "a"
 
-    return _letters[2].sub(r"\1\1\1\1", _letters[1].sub("0", _letters[0].sub(letters, token)))[:40]
+    return _letters[2].sub(r"\1\1\1\1", _letters[1].sub("0", _letters[0].sub(letters, token)))
 
 
 _shapes = Memo(token_shape)
@@ -70,7 +70,7 @@ def fit_nbsvm(
     if not len(y) or abs(y.sum()) == len(y):
         return LinearModel({}, float(y[0]) if len(y) else 0.0, 2.0)
     names, count = counted(rows)
-    x = Matrix(rows, names[count >= 3])
+    x = Matrix(rows, names[count >= LEAST_ROWS])
     positive, negative = x.back((y > 0).astype(float)) + smoothing, x.back((y < 0).astype(float)) + smoothing
     ratio = np.log(positive / positive.sum()) - np.log(negative / negative.sum())
     w, alpha, bias = np.zeros(x.shape[1]), np.zeros(len(y)), 0.0
@@ -97,7 +97,7 @@ def fit_nbsvm(
     margins = x.dot(final)
     bias = _cut(margins, y)
     spread = np.median(np.abs(margins + bias)) or 1.0
-    return LinearModel({int(k): float(v) for k, v in zip(names[count >= 3], final, strict=True) if v}, float(bias), 2.0 / spread)
+    return LinearModel({int(k): float(v) for k, v in zip(names[count >= LEAST_ROWS], final, strict=True) if v}, float(bias), 2.0 / spread)
 
 
 def _cut(margins: np.ndarray, y: np.ndarray) -> float:
@@ -112,17 +112,19 @@ def _cut(margins: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> LinearModel:
-    """Fit from docs (doc_id, text) and labels (doc_id, quality), on at most SAMPLE labelled rows.
+    """Fit from docs (doc_id, text) and labels (doc_id, quality), on at most SAMPLE labelled rows, in one task of an executor.
 
-    A null id or label is left out; a document with two labels counts as the smaller.
+    A null id or label is left out; a document with two labels counts as the smaller; repeated rows of docs count
+    each, within the bound; without labels or texts, or with one class only, every score leans to one side. A very
+    long text is one row of indicators. Further columns of either table are not read.
     """
-    rows = labelled_sample(docs, labels.select("doc_id", F.col("quality").alias("label")), SAMPLE, features)
-    return fit_nbsvm([x for _, x in rows], np.array([y for y, _ in rows]))
+    return fit_in_a_task(labelled_sample(docs, labels.select("doc_id", F.col("quality").alias("label")), SAMPLE, features), fit_nbsvm)
 
 
 def score(docs: DataFrame, model: LinearModel, keep_text: bool = False) -> DataFrame:
     """Replace text (unless it is kept) by score (0 to 1, higher: good likelier) in docs; a null or empty text is scored as empty.
 
-    Every row keeps its place: repeated rows have equal scores, null ids are kept, an empty table gives no rows.
+    Every row keeps its place: repeated rows have equal scores, null ids are kept, an empty table gives no rows. A
+    text of any length is scored whole. A column named score is replaced, all others are passed on.
     """
     return score_texts(docs, model, features, keep_text)
