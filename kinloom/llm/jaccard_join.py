@@ -3,19 +3,21 @@
 A text's set is its distinct shingles. Texts with the same set form one node, so copies are never compared.
 
 1. All nodes are hashed: size, a bitmap signature (a shingle sets the bit of its hash; a large set has more bits,
-   and two signatures are compared at the smaller size), and a sketch of how often shingles occur in all documents. Shingles are ordered from rare to frequent by the sketch, then
-   by hash. Two sets that are similar enough share one of their first ``size / 5 + 1`` shingles in this order.
-2. Nodes that share such a shingle form a group. Each is first compared with the leaders of about LEADERS of its
-   groups only; a group's leader is its node with the smallest hash of node and shingle, so every group has one
-   of its own. The links found this way join groups of near copies into one component, at a cost linear in
-   their size.
-3. Groups that still hold several components are cut by size into bands of at most TILE nodes; each pair of
-   bands whose sizes can match is one tile. Within a tile, bit counts bound the overlap of all pairs from
-   above; those of different components that may be similar enough become candidates, each in the first of
-   the groups that hold both. A large group is many tiles of equal cost, none a task of its own.
+   and two signatures are compared at the smaller size), and a sketch of how often shingles occur in all
+   documents. Shingles are ordered from rare to frequent by the sketch, then by hash. Two sets that are similar
+   enough share one of their first ``size / 5 + 1`` shingles in this order.
+2. Nodes that share such a shingle form a group. In rounds, each is compared with the leaders of about LEADERS
+   of its groups: a leader is the node with the smallest hash of shingle, node and round, so every group has one of
+   its own. The links join groups of near copies into components, at a cost linear in their size. Each round
+   has other leaders, in groups that still hold several components; the rounds end when one finds few links.
+3. What is left is cut into tiles of at most two blocks of TILE nodes: a small group is one; a large one is cut by
+   size into bands, and these by hash into blocks, and two blocks are a tile if their bands' sizes can match. Within
+   a tile, bit counts bound the overlap of all pairs from above; those of different components that may be
+   similar enough become candidates. A large group is many tiles of equal cost, none a task of its own.
 4. Candidates are decided by intersecting the sorted arrays of hashes. Components come from the links.
 
-Hashes of shingles and of sets have 64 bits; nothing else is approximate.
+Hashes of shingles and of sets have 64 bits; nothing else is approximate. Tables that a later one replaces are
+deleted from the shared folder as soon as that is written.
 """
 
 from __future__ import annotations
@@ -29,14 +31,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import stored
+from kinloom.llm.common import discard, stored
 from kinloom.llm.token_files import slices
 
 #: Leaders that a node is compared with, about.
 LEADERS = 20
-#: Bits of a signature, for each shingle and the least and most in all; counters of the sketch; nodes in a band;
-#: bits of the filter of wanted sets, at most.
-SPREAD, LEAST_BITS, MOST_BITS, CELLS, TILE, FILTER_BITS = 4, 1024, 65536, 1 << 20, 500, 1 << 28
+#: Bits of a signature, for each shingle and the least and most in all; counters of the sketch; nodes in a block of
+#: a tile; bits of the filter of wanted sets, at most (a fuller filter lets more sets through, none is lost).
+SPREAD, LEAST_BITS, MOST_BITS, CELLS, TILE, FILTER_BITS = 8, 1024, 65536, 1 << 20, 500, 1 << 28
+#: A round of leaders is followed by another if it found so many links for each row in open groups.
+WORTH = 0.02
+#: Bytes of prefix shingles that are dealt to a partition, about.
+PARTITION = 64 << 20
+#: Copies that a shingle's group is dealt into for each doubling of its sketched frequency over the threshold.
+SPLIT = 4
 #: Odd multipliers that tell the places of a shingle's words apart; the finishing multipliers of the hash.
 PLACES = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(1, 65)]
 FINISH = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -134,8 +142,12 @@ def frequency_levels(nodes: DataFrame) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(counters, 1) / (2 * counters.mean() + 16))) + 1).astype(np.uint8)
 
 
-def shared_prefixes(rows: DataFrame, width: int, levels: np.ndarray) -> DataFrame:
-    """(token, id, n, leader, leader_n): nodes by each prefix shingle that another node has too; kept on disk."""
+def shared_prefixes(rows: DataFrame, width: int, levels: np.ndarray, tokens_in_all: int) -> DataFrame:
+    """(token, id, n): nodes by each prefix shingle that another node has too; kept on disk.
+
+    The nodes of a shingle that the sketch takes for frequent are dealt to SPLIT tasks for each of its levels, by
+    their id, so a hot shingle is no task of its own; there, a single node may stay, which closes its group later.
+    """
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(levels)  # CELLS bytes
 
@@ -154,43 +166,40 @@ def shared_prefixes(rows: DataFrame, width: int, levels: np.ndarray) -> DataFram
                         ids.append(own)
                         sizes.append(len(h))
                 repeat = [len(t) for t in tokens[1:]]
-                columns = [pa.array(np.repeat(np.array(x, t), repeat)) for x, t in ((ids, np.int64), (sizes, np.int32))]
-                yield pa.record_batch([pa.array(np.concatenate(tokens)), *columns], names=["token", "id", "n"])
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["token", "id", "n", "leader", "leader_n"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-        leader = (None, 0, 0)
-        held, held_shared = np.zeros((3, 0), np.int64), False  # the last row, until the next one is known
+                flat = np.concatenate(tokens)
+                owner, n = (np.repeat(np.array(x, t), repeat) for x, t in ((ids, np.int64), (sizes, np.int32)))
+                parts = SPLIT * sent.value[cell(flat.view(np.uint64))].astype(np.int64)
+                part = np.where(parts > 0, 1 + owner % np.maximum(parts, 1), 0).astype(np.int32)
+                yield pa.record_batch([pa.array(x) for x in (flat, part, owner, n)], names=["token", "part", "id", "n"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "part", "id", "n"]
+        held, held_shared = np.zeros((4, 0), np.int64), False  # the last row, until the next one is known
         for batch in chain(batches, [None]):
             x = held
             if batch is not None:
-                new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "id", "n")]
+                new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
                 x = np.concatenate([held, np.stack(new)], axis=1)
-                x = x[:, np.append(True, (x[:2, 1:] != x[:2, :-1]).any(0))[: x.shape[1]]]
+                x = x[:, np.append(True, (x[:3, 1:] != x[:3, :-1]).any(0))[: x.shape[1]]]
             if not x.shape[1]:
                 continue
             alike = x[0, 1:] == x[0, :-1]
             before = np.append(held_shared, alike)
-            chosen = before | np.append(alike, False)
+            chosen = before | np.append(alike, False) | (x[1] > 0)
             if batch is not None:
                 chosen[-1] = False
-            out = []
-            for t, i, n in x[:, chosen].T.tolist():
-                if leader[0] != t:
-                    leader = (t, i, n)
-                out.append((t, i, n, leader[1], leader[2]))
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            if chosen.any():
+                yield pa.record_batch([pa.array(x[0, chosen]), pa.array(x[2, chosen]), pa.array(x[3, chosen].astype(np.int32))], names=["token", "id", "n"])
             held, held_shared = x[:, -1:], bool(before[-1])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens_in_all * 24 // PARTITION)
     sorted_rows = (
         rows.select("text")
-        .mapInArrow(emit, "token long, id long, n int")
-        .repartition(parts, "token")
-        .sortWithinPartitions("token", F.xxhash64("token", "id"), "id")
+        .mapInArrow(emit, "token long, part int, id long, n int")
+        .repartition(parts, "token", "part")
+        .sortWithinPartitions("token", "part", "id")
     )
-    return stored(sorted_rows.mapInArrow(lead, "token long, id long, n int, leader long, leader_n int"), "jaccard-shared")
+    return stored(sorted_rows.mapInArrow(shared, "token long, id long, n int"), "jaccard-shared")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -240,7 +249,7 @@ def links(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """
     spark = rows.sparkSession
     pairs = stored(pairs, "jaccard-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "jaccard-wanted")
     bits = 1 << 16
     while bits < min(FILTER_BITS, 10 * wanted.count()):
         bits *= 2
@@ -288,7 +297,9 @@ def links(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b"
     )
-    return stored(joined.select("a", "b", "a_set", "b_set").mapInArrow(decide, "a long, b long"), "jaccard-links")
+    found = stored(joined.select("a", "b", "a_set", "b_set").mapInArrow(decide, "a long, b long"), "jaccard-links")
+    discard(pairs, wanted, sets)
+    return found
 
 
 def places(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -300,7 +311,7 @@ def places(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each end of an edge (a, b) reaches.
+    """(id, component): the smallest id that each end of an edge (a, b) reaches; kept on disk.
 
     Each round gives a node the smallest label beside it, and then its label's label; the labels are written
     down after each, so a lost executor costs one round at most.
@@ -308,92 +319,148 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "jaccard-edges")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "jaccard-labels")
     while True:
-        beside = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
+        beside = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
         after = stored(
-            labels.join(beside, "id")
+            labels.select("id", "component").join(beside, "id")
             .join(jump, "component")
             .select("id", F.least("least", "further").alias("component"), (F.least("least", "further") < F.col("component")).alias("moved")),
             "jaccard-labels",
         )
-        labels = after.drop("moved")
-        if after.where("moved").isEmpty():
+        done = after.where("moved").isEmpty()
+        discard(labels)
+        labels = after
+        if done:
+            discard(both)
             return labels
 
 
-def tiles(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within groups that signatures can't rule out, each pair once."""
-    placed = shared.select("token", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def open_groups(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(token, id, n, component): the rows of groups with several components; kept on disk.
+
+    Of groups with the same members one is kept. Rows whose size no other component of their group can match go.
+    """
+    placed = shared.select("token", "id", "n")
+    if labels is None:
+        placed = placed.withColumn("component", F.col("id"))
+    else:
+        placed = placed.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     members_of = [F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit("second")))]
     sizes = placed.groupBy("token").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), *[m.alias(f"m{i}") for i, m in enumerate(members_of)]
+        F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"),
+        *[m.alias(f"m{i}") for i, m in enumerate(members_of)],
+    )
+    mixed = sizes.where("x < y").groupBy("m0", "m1", "m2").agg(F.min(F.struct("token", "least", "most")).alias("g")).select("g.*")
+    # A pair of two needs sizes that match; in larger groups, tiles look closer.
+    alone = (F.col("least") * 5 < F.col("most") * 4) & (F.col("m0") == 2)
+    two = sizes.where(alone).select("token")
+    return stored(placed.join(mixed.join(two, "token", "left_anti").select("token"), "token", "left_semi"), "jaccard-open")
+
+
+def led(groups: DataFrame, turn: int) -> DataFrame:
+    """(a, an, b, bn): nodes b of groups (token, id, n, component) with the leaders a of about LEADERS of their groups.
+
+    A group's leader is its node with the smallest hash of token, turn and id. It is found by an aggregate that each
+    task begins by itself, so a large group is no task of its own.
+    """
+    first = F.min(F.struct(F.xxhash64("token", "id", F.lit(turn)).alias("h"), "id", "n", "component"))
+    leaders = groups.groupBy("token").agg(first.alias("x")).select("token", F.col("x.id").alias("a"), F.col("x.n").alias("an"), F.col("x.component").alias("ac"))
+    few = F.pmod(F.xxhash64("token", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("n") / (5 * LEADERS)))) == 0
+    return (
+        groups.where(few)
+        .join(leaders, "token")
+        .where(F.col("component") != F.col("ac"))
+        .select("a", "an", F.col("id").alias("b"), F.col("n").alias("bn"))
     )
-    # Groups of the same members are one.
-    mixed = sizes.where("x < y").groupBy("m0", "m1", "m2").agg(F.min("token").alias("token")).select("token")
+
+
+def tiles(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within groups (token, id, n, component) that signatures can't rule out."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25))).cast("int")  # sizes that match lie in one band or two neighbours
+    rows = groups.withColumn("band", band)
+    counts = rows.groupBy("token", "band").agg(F.count("*").alias("c"))
+    whole = counts.groupBy("token").agg(F.sum("c").alias("all"))
+    own = counts.join(whole.where(F.col("all") > TILE), "token").select("token", "band", F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
+    beside = own.select("token", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")).unionByName(
+        own.select("token", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below")), allowMissingColumns=True
+    )
+    beside = beside.groupBy("token", "band").agg(F.max("above").alias("above"), F.max("below").alias("below"))
+    cut = own.join(beside, ["token", "band"], "left").na.fill(0, ["above", "below"])
+    placed = rows.join(cut, ["token", "band"], "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.coalesce("blocks", F.lit(1))).cast("int"))
+    b, k = F.col("band"), F.col("block")
+
+    def upto(n: str):  # noqa: ANN202
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def tile(x, i, y, j):  # noqa: ANN001, ANN202
+        return F.struct(x.alias("band_1"), i.alias("block_1"), y.alias("band_2"), j.alias("block_2"))
+
+    many = F.concat(
+        F.transform(upto("blocks"), lambda j: tile(b, F.least(k, j), b, F.greatest(k, j))),
+        F.transform(upto("above"), lambda j: tile(b, k, b + 1, j)),
+        F.transform(upto("below"), lambda j: tile(b - 1, j, b, k)),
+    )
+    zero = F.lit(0)
+    one = F.array(tile(zero, zero, zero, zero))
+    dealt = placed.withColumn("tile", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(many)))
+    first = F.col("blocks").isNull() | ((F.col("tile.band_1") == b) & (F.col("tile.block_1") == k))
+    second = F.col("blocks").isNull() | ((F.col("tile.band_2") == b) & (F.col("tile.block_2") == k))
     bits = nodes.where("n > 0").groupBy("id").agg(F.min("bits").alias("bits"))
-    open_rows = stored(placed.join(mixed, "token"), "jaccard-open")
-    groups = open_rows.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("groups"))  # n / 5 + 1 at most
-    bits = bits.join(groups, "id")
-    rank = F.row_number().over(Window.partitionBy("token").orderBy("n", "id"))
-    banded = open_rows.withColumn("band", F.floor((rank - 1) / TILE).cast("int"))
-    bands = banded.groupBy("token", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    after = bands.select("token", F.col("band").alias("band_2"), F.col("least").alias("least_2"))
-    matching = bands.join(after, "token").where("band <= band_2 AND 5 * most >= 4 * least_2")
-    ends = matching.select("token", F.explode(F.array_distinct(F.array("band", "band_2"))).alias("band"), F.struct("band", "band_2").alias("tile"))
-    members = banded.join(ends, ["token", "band"]).join(bits, "id")
+    keys = ["token", "tile"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables(batches):
             ids, sizes, part = (table[c].to_numpy().astype(np.int64) for c in ("id", "n", "component"))
-            band, (widths, x) = table["band"].to_numpy(), by_width(table["bits"])
+            side_1, side_2 = (table[c].to_numpy(zero_copy_only=False) for c in ("first", "second"))
+            if part.min() == part.max() or not (side_1.any() and side_2.any()):
+                continue
+            widths, x = by_width(table["bits"])
             row = np.concatenate([np.arange(len(at)) for at, _ in x.values()])[np.argsort(np.concatenate([at for at, _ in x.values()]))]
-            first, token, groups = (table["first"][0].as_py(), table["second"][0].as_py()), table["token"][0].as_py(), table["groups"]
-            lists: dict[int, np.ndarray] = {}
-            found = []
-            for i in np.flatnonzero(band == first[0]):
-                j = np.flatnonzero((band == first[1]) & (part != part[i]) & ((band != first[0]) | (ids > ids[i])))
+            found: set[tuple[int, int]] = set()
+            for i in np.flatnonzero(side_1):
+                # Within one block, each pair once.
+                j = np.flatnonzero(side_2 & (part != part[i]) & (~(side_1 & side_2[i]) | (ids > ids[i])))
                 j = j[5 * np.minimum(sizes[i], sizes[j]) >= 4 * np.maximum(sizes[i], sizes[j])]
-                for w, (_, bits_of) in x.items():
+                for w, (_, bits_of) in x.items() if len(j) else ():
                     k = j[widths[j] == w]
                     if len(k):
                         width = min(w, int(widths[i]))
                         own = folded(x[int(widths[i])][1][row[i]][None], width)
                         differing = np.bitwise_count(own ^ folded(bits_of[row[k]], width)).sum(1, dtype=np.int64)
                         k = k[may_match(sizes[i] + sizes[k], differing)]
-                        for m in k.tolist():
-                            for one in (int(i), m):
-                                if one not in lists:
-                                    lists[one] = groups[one].values.to_numpy()
-                            if np.intersect1d(lists[int(i)], lists[m], assume_unique=True)[0] == token:
-                                found.append((min(ids[i], ids[m]), max(ids[i], ids[m])))
+                        found.update((int(min(ids[i], m)), int(max(ids[i], m))) for m in ids[k])
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    keys = ["token", "first", "second"]
-    dealt = (
-        members.select("token", F.col("tile.band").alias("first"), F.col("tile.band_2").alias("second"), "band", "id", "n", "component", "bits", "groups")
+    spread_out = (
+        dealt.select("token", "tile", "id", "n", "component", first.alias("first"), second.alias("second"))
+        .join(bits, "id")
+        .select(*keys, "id", "n", "component", "first", "second", "bits")
         .repartition(*keys)
         .sortWithinPartitions(*keys)
+        .select("token", F.xxhash64("tile").alias("tile"), "id", "n", "component", "first", "second", "bits")
     )
-    return dealt.mapInArrow(compare, "a long, b long")
+    return spread_out.mapInArrow(compare, "a long, b long").distinct()
 
 
 def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each tile together; a tile has two bands, so at most twice TILE rows."""
+    """The rows of each tile together; a tile has two blocks of about TILE rows at most."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("token", "first", "second")), strict=True))
-        start = 0
-        for i, k in enumerate(keys):
-            if k != last:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held).combine_chunks()
-                held, start, last = [], i, k
-        held.append(batch.slice(start))
+        token, tile = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "tile"))
+        new = np.flatnonzero((token[1:] != token[:-1]) | (tile[1:] != tile[:-1])) + 1
+        bounds = [0, *new.tolist(), len(token)]
+        for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
+            if start == stop:
+                continue
+            key = (int(token[start]), int(tile[start]))
+            if key != last and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = key
+            held.append(batch.slice(start, stop - start))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -428,18 +495,35 @@ def spread() -> Column:
 
 
 def placed_rows(docs: DataFrame, width: int) -> DataFrame:
-    """key, doc_id, n (shingles), id (of the set) and component of each row of docs; component is null without a set."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    """key, doc_id, n (shingles), id (of the set) and component of each row of docs; component is null without a set.
+
+    A column key of docs is taken for the row's key; it must be stable, as that of common.keyed().
+    """
+    key = F.col("key").cast("long") if "key" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     nodes = make_nodes(rows, width)
-    shared = shared_prefixes(rows, width, frequency_levels(nodes))
     own = nodes.where("key IS NOT NULL")
-    few = F.pmod(F.xxhash64("token"), F.greatest(F.lit(1), F.floor(F.col("n") / (5 * LEADERS)))) == 0
-    led = shared.where("id <> leader").where(few).select(F.col("leader").alias("a"), F.col("leader_n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
-    found = links(possible(led, own), rows, width)
-    labels = components(found)
-    across = stored(tiles(shared, labels, own), "jaccard-across")
+    tokens = own.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
+    shared = shared_prefixes(rows, width, frequency_levels(nodes), tokens)
+    groups, labels, found, turn, worth = open_groups(shared, None), None, None, 0, True
+    while worth and (left := groups.count()):
+        new = links(possible(led(groups, turn), own), rows, width)
+        worth = new.count() >= WORTH * left
+        found, old = (new, None) if found is None else (stored(found.unionByName(new), "jaccard-links"), (found, new))
+        if old:
+            discard(*old)
+        if labels is not None:
+            discard(labels)
+        labels, turn = components(found), turn + 1
+        discard(groups)
+        groups = open_groups(shared, labels)
+    across = stored(tiles(groups, own), "jaccard-across")
+    discard(shared, groups)
     if not across.isEmpty():
-        labels = components(found.unionByName(links(across, rows, width)))
-    return own.select("key", "doc_id", "n", "id").join(labels, "id", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")))
+        more = links(across, rows, width)
+        labels = components(found.unionByName(more))
+        discard(more)
+    discard(across)
+    if labels is None:
+        return own.select("key", "doc_id", "n", "id").withColumn("component", F.when(F.col("n") > 0, F.col("id")))
+    return own.select("key", "doc_id", "n", "id").join(labels.select("id", "component"), "id", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")))
