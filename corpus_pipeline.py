@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame, which
 is written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Only the columns in COLUMNS are carried; any further one of documents is left out by the first stage, so none can
+clash. A null or empty text is scored as empty, has no copies and no benchmark passage, and has no token ids; rows
+with equal or null ids are rows of their own; an empty table gives no rows. Where a stage finds rows by a key, the
+key is written down with them first, so that another scan or a lost executor can't change it.
 """
 
 from __future__ import annotations
@@ -34,19 +39,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row without id stays only where its whole group has none: the group's first. Rows without words have no group.
     """
-    rows = common.pick(docs, **COLUMNS)
+    rows = common.keyed(docs, **COLUMNS)
     first = jaccard_join.linked_rows(rows).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row"))
-    numbered = rows.withColumn("key", F.monotonically_increasing_id())
-    return numbered.join(first.select("row.key"), "key", "left_semi").select(*COLUMNS)
+    return rows.join(first.select("row.key"), "key", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of ten words of a benchmark item go."""
-    rows = common.pick(docs, **COLUMNS)
+    rows = common.keyed(docs, **COLUMNS)
     items = common.table(spark, sf_dir, "benchmark", item_id="long", text="string")
     hit = decontamination.find_items(rows, items).where(F.size("spans") > 0).select("key")
-    numbered = rows.withColumn("key", F.monotonically_increasing_id())
-    return numbered.join(hit, "key", "left_anti").select(*COLUMNS)
+    return rows.join(hit, "key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
