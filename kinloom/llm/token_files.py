@@ -39,18 +39,20 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, remembering the ids of chunks between single spaces.
 
     A byte-level tokenizer starts a pre-token at a space that precedes a visible character. So the ids of
-    `` chunk`` don't depend on its neighbours, if the chunk begins and ends with a visible character. Texts
-    with any other chunk (runs of spaces, a line break beside a space) are encoded whole. Ids are kept as
-    the bytes of 32-bit integers, in two generations of bounded size, so that frequent chunks stay.
+    `` chunk`` don't depend on its neighbours, if the chunk begins and ends with a visible character. A line break
+    alone between visible characters is a pre-token, and so parts a chunk further. Texts with any other chunk
+    (runs of spaces, a line break beside a space) or with the text of an added token are encoded whole. Ids are
+    kept as the bytes of 32-bit integers, in two generations of bounded size, so that frequent chunks stay.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.normalizer is not None:
             raise ValueError("the tokenizer changes texts before it splits them, so chunks can't be encoded apart")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
         # The byte-level alphabet: visible bytes of Latin-1 stand for themselves, the others follow from 256 on.
@@ -58,29 +60,40 @@ class ChunkEncoder:
         self.letters = {b: 256 + i for i, b in enumerate(hidden)}
         self.space = chr(self.letters[32])
         self.ends: dict[str, bytes] = {}
+        self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def remember(self, chunk: str) -> bytes | None:
-        """The ids of a chunk that wasn't met lately, or None if it can't be encoded apart."""
-        if chunk in self.old:
-            ids = self.old[chunk]
-        elif chunk.isalpha():  # one pre-token
-            word = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
-            ids = packed([t.id for t in self.tokenizer.model.tokenize(self.space + word)])
-        elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            ids = None
-        elif (core := chunk.rstrip(MARKS)).isalpha():  # letters are a pre-token, and so are the marks behind them
-            ids = self.young.get(core) or self.remember(core)
+    def word(self, letters: str, space: str) -> bytes:
+        """One pre-token of letters."""
+        word = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.tokenize(space + word)])
+
+    def apart(self, chunk: str, space: str) -> bytes:
+        """The ids of a chunk that begins and ends with visible characters, behind a space or none."""
+        if chunk.isalpha():
+            return self.word(chunk, space)
+        core = chunk.rstrip(MARKS)
+        if core.isalpha():  # letters are a pre-token, and so are the marks behind them
             marks = chunk[len(core) :]
             if (end := self.ends.get(marks)) is None:
                 end = self.whole(marks)
                 if len(self.ends) < REMEMBERED:
                     self.ends[marks] = end
-            ids += end
-        else:
-            ids = self.whole(" " + chunk)
+            if not space:
+                return self.word(core, "") + end
+            return (self.young.get(core) or self.remember(core)) + end
+        first, broken, rest = chunk.partition("\n")
+        if broken and not first[-1].isspace() and not rest[0].isspace():
+            return self.apart(first, space) + self.newline + self.apart(rest, "")
+        return self.whole(f" {chunk}" if space else chunk)
+
+    def remember(self, chunk: str) -> bytes | None:
+        """The ids of a chunk that wasn't met lately, or None if it can't be encoded apart."""
+        ids = self.old.get(chunk, b"")
+        if ids == b"":
+            ids = self.apart(chunk, self.space) if chunk and not chunk[0].isspace() and not chunk[-1].isspace() else None
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}
         self.young[chunk] = ids
@@ -88,14 +101,18 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         chunks = text.split(" ")
-        if chunks[0] and chunks[0][-1].isspace():
+        first = chunks[0]
+        if first and first[-1].isspace() or any(x in text for x in self.added):
             return self.whole(text)
-        parts = list(map(self.young.get, islice(chunks, 1, None)))
-        if None in parts:
-            parts = [self.remember(c) if p is None else p for c, p in zip(islice(chunks, 1, None), parts, strict=True)]
-            if None in parts:
+        parts = list(map(self.young.get, chunks))
+        parts[0] = self.whole(first)
+        at = 0
+        for _ in range(parts.count(None)):
+            at = parts.index(None, at)
+            if (ids := self.remember(chunks[at])) is None:
                 return self.whole(text)
-        return self.whole(chunks[0]) + b"".join(parts)
+            parts[at] = ids
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=1)
