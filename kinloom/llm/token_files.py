@@ -8,6 +8,7 @@ asks for counts, or for a range of documents, reads no other ids.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ FORMAT = {
     "parquet.page.row.count.limit": "4000",
 }
 #: Characters of text that are encoded at once, and chunks that a worker remembers.
-SLICE_CHARS, REMEMBERED = 1_000_000, 400_000
+SLICE_CHARS, REMEMBERED = 1_000_000, 250_000
 #: Marks that often end a chunk: neither letters, digits nor white space, and no apostrophe.
 MARKS = ".,;:!?)]}\"#$%&*+-/<=>@\\^_`|~"
 
@@ -144,24 +145,28 @@ def encode_rows(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(tokenizer), packed([end_id])
         part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for piece, texts in slices(batch, "text"):
-                ids = [encoder.encode(t) + end for t in texts]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // len(end)
-                ends = np.cumsum(n)
-                flat = np.frombuffer(b"".join(ids), "<i4")
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                yield pa.record_batch(
-                    [
-                        piece.column("doc_id"),
-                        pa.array(np.full(len(ids), part, np.int32)),
-                        pa.array(before + ends - n),
-                        pa.array(n),
-                        pa.ListArray.from_arrays(offsets, pa.array(flat)),
-                    ],
-                    names=["doc_id", "part", "before", "n_tokens", "ids"],
-                )
-                before += int(ends[-1])
+        gc.disable()  # the tokens that the library returns, millions of short-lived objects, hold no cycles
+        try:
+            for batch in batches:
+                for piece, texts in slices(batch, "text"):
+                    ids = [encoder.encode(t) + end for t in texts]
+                    n = np.fromiter(map(len, ids), np.int64, len(ids)) // len(end)
+                    ends = np.cumsum(n)
+                    flat = np.frombuffer(b"".join(ids), "<i4")
+                    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                    yield pa.record_batch(
+                        [
+                            piece.column("doc_id"),
+                            pa.array(np.full(len(ids), part, np.int32)),
+                            pa.array(before + ends - n),
+                            pa.array(n),
+                            pa.ListArray.from_arrays(offsets, pa.array(flat)),
+                        ],
+                        names=["doc_id", "part", "before", "n_tokens", "ids"],
+                    )
+                    before += int(ends[-1])
+        finally:
+            gc.enable()
 
     return run
 
