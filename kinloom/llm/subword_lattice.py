@@ -1,39 +1,57 @@
 """Language-model scoring by a subword lattice.
 
-A document is a sequence of pieces of a fixed vocabulary and one end. Each piece has a probability of its own; the
-probability of a text is the sum over all ways to cut it into pieces, found by a forward recursion in log space.
-A piece doesn't cross the start of a word, so the recursion runs once for each distinct word.
-
-The vocabulary's own scores give the pieces' first weights. They are ranks by use (the best score is the most
-used piece), so a piece of rank r starts at 1 / (r + RANK_OFFSET), normalised. Rounds of expectation maximisation
-over the words of all training documents then fit them: the expected uses of a piece are summed over all
-segmentations of each distinct word, times the word's count.
+A document is a sequence of words and one end. A word is spelt by the pieces of a fixed vocabulary; the probability of
+a spelling is the product of its pieces' weights, and a word's is the sum over all ways to cut it into pieces, found by
+a forward recursion in log space. A piece doesn't cross the start of a word, so the recursion runs once for each
+distinct word.
+
+The vocabulary's own scores weight the pieces (``piece_weights``). What is learned from the training rows are the
+tokens' counts: a token that they hold is one more arc of its lattice, from its start to its end, weighted by its
+count less DISCOUNT; the mass so freed, DISCOUNT for each distinct token, goes to the spellings. With c a token's count,
+N all and V the distinct training tokens, its probability is
+
+    max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * (sum over its spellings)
+
+and without training rows the sum over its spellings. Words of any kind have a probability, and all sum to 1.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import stored
 from kinloom.llm.token_files import slices
 
-#: Added to a piece's rank in its first weight; uses that every piece gets besides those expected; rounds.
-RANK_OFFSET, SMOOTHING, ROUNDS = 10, 0.1, 2
+#: Added to a piece's rank in its weight; what a token's count is lessened by.
+RANK_OFFSET, DISCOUNT = 10, 0.5
 #: Words that a task counts before it hands them on; share of all tokens from which a word is sent to all tasks.
 HELD, FREQUENT = 400_000, 2e-5
 #: The token that ends each document. It is no word, as words hold no white space.
 END = b" "
 WORD_START = "▁"
 LN10 = float(np.log(10))
-#: Multiplier of the polynomial hash of a piece's letters, modulo 2 ** 64; words that are scored together.
-BASE, TOGETHER = np.uint64(0x9E3779B97F4A7C15), 40_000
+#: Multiplier of the polynomial hash of a piece's letters, modulo 2 ** 64; bytes of words that are scored together; letters
+#: from which a word is scored by itself.
+BASE, TOGETHER, LONG = np.uint64(0x9E3779B97F4A7C15), 400_000, 64
+
+
+def piece_weights(scores: np.ndarray) -> np.ndarray:
+    """Probabilities of pieces from a vocabulary's scores, which only order them: 1 / (rank + RANK_OFFSET), normalised.
+
+    The best score has rank 0; of equal scores the first piece comes first.
+    """
+    rank = np.empty(len(scores))
+    rank[np.argsort(-scores, kind="stable")] = np.arange(len(scores))
+    weights = 1 / (rank + RANK_OFFSET)
+    return weights / weights.sum()
 
 
 @dataclass
@@ -49,7 +67,10 @@ class Pieces:
 
     @classmethod
     def of(cls, path: str) -> Pieces:
-        """Normal pieces (a word start only at their beginning) and byte pieces, weighted by their scores' ranks."""
+        """Normal pieces (a word start only at their beginning), byte pieces and the end, weighted by their scores.
+
+        Byte pieces, which stand for what no other piece spells, come after all others; the end comes first.
+        """
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -58,30 +79,27 @@ class Pieces:
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 byte_numbers[int(piece[3:5], 16)] = len(scores)
-                scores.append(-float(model.get_piece_size()))
+                scores.append(-np.inf)
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or WORD_START in piece[1:]):
                 texts[piece] = len(scores)
                 scores.append(model.get_score(i))
-        rank = np.empty(len(scores))
-        rank[np.argsort(-np.array(scores), kind="stable")] = np.arange(len(scores))
-        weights = 1 / (rank + RANK_OFFSET)
+        log_p = np.log(piece_weights(np.array([*scores, np.inf])))
         hashes = np.array([text_hash(t) for t in texts], np.uint64)
         order = np.argsort(hashes)
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces have the same hash")
         numbers = np.array(list(texts.values()))[order]
-        return cls(hashes[order], numbers, byte_numbers, np.log(weights / weights.sum()), 0.0, max(map(len, texts)))
+        return cls(hashes[order], numbers, byte_numbers, log_p[:-1], float(log_p[-1]), max(map(len, texts)))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these hashes, -1 where there is none."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.numbers[at], -1)
 
-    def lattice(self, words: list[str], counts: np.ndarray | None = None, uses: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of the summed probability of all segmentations of each word.
+    def lattice(self, words: list[str]) -> np.ndarray:
+        """Natural log of the summed probability of all spellings of each word.
 
-        With counts, also add to uses the expected uses of each piece in all the words. Words of equal length go
-        through the recursions together.
+        Words of equal length go through the recursion together, a long word by itself.
         """
         out = np.zeros(len(words))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -89,63 +107,51 @@ class Pieces:
             own = np.flatnonzero(lengths == n)
             text = WORD_START + WORD_START.join(words[i] for i in own)
             letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(own), n + 1).T.astype(np.uint64)
-            out[own] = self._equal(np.ascontiguousarray(letters), None if counts is None else counts[own], uses)
+            if n < LONG:
+                out[own] = self._equal(np.ascontiguousarray(letters))
+            else:
+                out[own] = [self._long(x) for x in letters.T]
         return out
 
-    def _equal(self, letters: np.ndarray, counts: np.ndarray | None, uses: np.ndarray | None) -> np.ndarray:
+    def _spelt(self, letters: np.ndarray) -> np.ndarray:
+        """Log probability of each letter as the pieces of its bytes."""
+        distinct, which = np.unique(letters, return_inverse=True)
+        of = [self.log_p[self.byte_numbers[list(chr(int(c)).encode("utf-8", "surrogatepass"))]].sum() for c in distinct]
+        return np.array(of)[which.reshape(letters.shape)]
+
+    def _equal(self, letters: np.ndarray) -> np.ndarray:
         """letters: a row for each place, a column for each word."""
         n, width = letters.shape
-        distinct, which = np.unique(letters, return_inverse=True)
-        spelt = [self.byte_numbers[list(chr(int(c)).encode("utf-8", "surrogatepass"))] for c in distinct]
-        spelt_p = np.array([self.log_p[k].sum() for k in spelt])[which.reshape(letters.shape)]
+        spelt = self._spelt(letters)
         alpha = np.full((n + 1, width), -np.inf)
         alpha[0] = 0
-        edges = []
         for i in range(n):
-            alpha[i + 1] = np.logaddexp(alpha[i + 1], alpha[i] + spelt_p[i])
+            alpha[i + 1] = np.logaddexp(alpha[i + 1], alpha[i] + spelt[i])
             h = np.zeros(width, np.uint64)
             for j in range(i, min(n, i + self.longest)):
                 h = h * BASE + letters[j] + np.uint64(1)
                 piece = self.find(h)
                 if len(at := np.flatnonzero(piece >= 0)):
-                    edges.append((i, j + 1, at, piece[at]))
                     alpha[j + 1, at] = np.logaddexp(alpha[j + 1, at], alpha[i, at] + self.log_p[piece[at]])
-        if counts is None:
-            return alpha[n]
-        beta = np.full((n + 1, width), -np.inf)
-        beta[n] = 0
-        numbers, shares, place = [], [], n
-        spelling = np.zeros((n, width))
-
-        def spell(i: int) -> None:
-            x = beta[i + 1] + spelt_p[i]
-            spelling[i] = counts * np.exp(alpha[i] + x - alpha[n])
-            beta[i] = np.logaddexp(beta[i], x)
-
-        for i, j, at, piece in reversed(edges):  # from the last start to the first
-            while place > i + 1:
-                place -= 1
-                spell(place)
-            x = beta[j, at] + self.log_p[piece]
-            numbers.append(piece)
-            shares.append(counts[at] * np.exp(alpha[i, at] + x - alpha[n, at]))
-            beta[i, at] = np.logaddexp(beta[i, at], x)
-        while place > 0:
-            place -= 1
-            spell(place)
-        if numbers:
-            uses += np.bincount(np.concatenate(numbers), np.concatenate(shares), len(uses))
-        for k, share in zip(spelt, np.bincount(which.ravel(), spelling.ravel(), len(distinct)), strict=True):
-            np.add.at(uses, k, share)
         return alpha[n]
 
-    def refitted(self, uses: dict[int, float], ends: int) -> Pieces:
-        """The pieces with probabilities in proportion to their uses; the end's is its share of all uses."""
-        counts = np.full(len(self.log_p), SMOOTHING)
-        for k, v in uses.items():
-            counts[k] += v
-        total = counts.sum() + ends + SMOOTHING
-        return replace(self, log_p=np.log(counts / total), log_end=float(np.log((ends + SMOOTHING) / total)))
+    def _long(self, letters: np.ndarray) -> float:
+        """One word: the pieces that end at each place are found for all places at once, length by length."""
+        n, most = len(letters), min(self.longest, len(letters))
+        arcs = np.full((n + 1, most), -np.inf)  # by end and length - 1
+        h = np.zeros(n, np.uint64)
+        for k in range(most):
+            h = h[: n - k] * BASE + letters[k:] + np.uint64(1)
+            piece = self.find(h)
+            arcs[k + 1 :, k] = np.where(piece >= 0, self.log_p[piece], -np.inf)
+        arcs[1:, 0] = np.logaddexp(arcs[1:, 0], self._spelt(letters))
+        alpha = np.full(n + most, -np.inf)  # places before the start are impossible
+        alpha[most - 1] = 0
+        for j in range(1, n + 1):
+            x = alpha[j - 1 : j - 1 + most][::-1] + arcs[j]
+            top = x.max()
+            alpha[j + most - 1] = top + np.log(np.exp(x - top).sum())
+        return float(alpha[-1])
 
 
 def text_hash(text: str) -> int:
@@ -192,51 +198,40 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches joined to tables of about TOGETHER rows."""
-    held, n = [], 0
+    """Batches of words cut and joined to tables of about TOGETHER bytes (one word at least)."""
+    held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= TOGETHER:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if n:
+        ends = np.cumsum(pc.binary_length(batch.column("word")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = done = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, done + TOGETHER - size, "right")))
+            held.append(batch.slice(start, stop - start))
+            size += int(ends[stop - 1]) - done
+            start, done = stop, int(ends[stop - 1])
+            if size >= TOGETHER or start < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
         yield pa.Table.from_batches(held)
 
 
-def fit(counts: DataFrame, pieces: Pieces, ends: int, rounds: int) -> Pieces:
-    """Expectation maximisation over the training words of counts, each distinct word once a round."""
-    for _ in range(rounds):
-        now = pieces
-
-        def run(batches: Iterator[pa.RecordBatch], now: Pieces = now) -> Iterator[pa.RecordBatch]:
-            uses = np.zeros(len(now.log_p))
-            for batch in together(batches):
-                words = [w.decode() for w in batch["word"].to_pylist()]
-                now.lattice(words, batch["c"].to_numpy().astype(np.float64), uses)
-            used = np.flatnonzero(uses)
-            yield pa.record_batch([pa.array(used, pa.int32()), pa.array(uses[used])], names=["piece", "n"])
-
-        words = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", "c")
-        each = words.mapInArrow(run, "piece int, n double")
-        pieces = pieces.refitted(dict(each.groupBy("piece").agg(F.sum("n")).collect()), ends)  # a row for each piece
-    return pieces
-
-
-def score_words(counts: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, c, seen, log_z): the natural log probability of each distinct word."""
+def score_words(counts: DataFrame, pieces: Pieces, n: int, v: int) -> DataFrame:
+    """(word, c, seen, log_z): the natural log probability of each distinct token, from N and V of the training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in together(batches):
-            words = batch["word"].to_pylist()
+            words, c = batch["word"].to_pylist(), batch["c"].to_numpy()
             z = pieces.lattice([w.decode() for w in words])
             z[[w == END for w in words]] = pieces.log_end
+            if n:
+                with np.errstate(divide="ignore"):
+                    z = np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0) / n), np.log(DISCOUNT * v / n) + z)
             yield from batch.append_column("log_z", pa.array(z)).combine_chunks().to_batches()
 
     return counts.select("word", "c", "seen").mapInArrow(run, "word binary, c long, seen long, log_z double")
 
 
-def score_texts(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Score docs (doc_id, text, training) by a model of the rows whose training is true.
 
     Returns doc_id, training, n_tokens (words and one end), n_known (those with c > 0), train_tokens,
@@ -244,7 +239,8 @@ def score_texts(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataF
     distinct tokens of the training rows) and score (log10 of the text's probability under the lattice).
 
     A null or empty text is its end alone. Null and repeated ids keep their rows; without training rows N and V
-    are 0 and the pieces keep their first weights; an empty table gives no rows.
+    are 0 and the spellings alone count; an empty table gives no rows. Texts and words of any length are scored whole,
+    a word in time and memory in proportion to its length. Further columns of docs are not read.
 
     Words with at least FREQUENT of all tokens, 1 / FREQUENT at most, are sent to all tasks with their scores;
     the occurrences of the others are counted by document and joined by the word, where none is hot.
@@ -261,10 +257,8 @@ def score_texts(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataF
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
         F.count_if(F.col("c") > 0).alias("v"),
         F.coalesce(F.sum("seen"), F.lit(0)).alias("seen"),
-        F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("ends"),
     ).first()
-    pieces = fit(counts, Pieces.of(vocabulary), total.ends, rounds)
-    table = stored(score_words(counts, pieces), "word-scores").withColumn(
+    table = stored(score_words(counts, Pieces.of(vocabulary), total.n, total.v), "word-scores").withColumn(
         "base", F.log10((F.col("c") + 1) / F.lit(float(total.n + total.v + 1)))
     )
     frequent = F.col("seen") >= FREQUENT * max(1, total.seen)
@@ -287,34 +281,26 @@ def score_texts(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataF
                             n_known, base, score = n_known + n * a, base + n * b, score + n * s
                         else:
                             out.append((key, None, None, w, n, 0, 0.0, 0.0))
-                    out.append((key, doc_id, training, None, sum(count.values()), n_known, base, score))
+                    # The row of the document itself: no word begins with white space, so it meets none in the join.
+                    alone = END + key.to_bytes(8, "little")
+                    out.append((key, doc_id, training, alone, sum(count.values()), n_known, base, score))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     fields = "key long, doc_id long, training boolean, word binary, n long, n_known long, base double, score double"
     each = rows.mapInArrow(run, fields)
-    rare = (
-        each.where("word IS NOT NULL")
-        .select("key", "word", "n")
-        .join(table.where(~frequent).select("word", "c", "base", "log_z"), "word")
-        .select(
-            "key",
-            F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"),
-            (F.col("n") * F.col("base")).alias("base"),
-            (F.col("n") * F.col("log_z") / LN10).alias("score"),
-        )
-    )
-    whole = each.where("word IS NULL").select("key", "doc_id", "training", F.col("n").alias("n_tokens"), "n_known", "base", "score")
+    others = table.where(~frequent).select("word", "c", F.col("base").alias("word_base"), "log_z")
+    own = F.col("training").isNotNull()
     return (
-        whole.unionByName(rare, allowMissingColumns=True)
+        each.join(others, "word", "left")
         .groupBy("key")
         .agg(
             F.max("doc_id").alias("doc_id"),
             F.max("training").alias("training"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.sum("n_known").alias("n_known"),
+            F.max(F.when(own, F.col("n"))).alias("n_tokens"),
+            F.sum(F.when(own, F.col("n_known")).otherwise(F.when(F.col("c") > 0, F.col("n")).otherwise(0))).alias("n_known"),
             F.lit(total.n).cast("long").alias("train_tokens"),
-            F.sum("base").alias("base_score"),
-            F.sum("score").alias("score"),
+            F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * F.col("word_base"))).alias("base_score"),
+            F.sum(F.when(own, F.col("score")).otherwise(F.col("n") * F.col("log_z") / LN10)).alias("score"),
         )
         .drop("key")
     )

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def frame(spark, rows, schema):
 
 def texts(spark):
     long = " ".join(f"w{i % 900}x{i}" for i in range(20_000))
-    rows = [(1, "One, two  three.\nfour"), (2, None), (3, ""), (None, "No id here"), (1, "One, two  three.\nfour"), (4, long), (5, " \t\n "), (6, "éß中文 😀 ١٢ don't")]
+    rows = [(1, "One, two  three.\nfour"), (2, None), (3, ""), (None, "No id here"), (1, "One, two  three.\nfour"), (4, long), (5, " \t\n "), (6, "éß中文 😀 ١٢ don't"), (8, "a<|endoftext|> b <|endoftext|>")]
     return rows, frame(spark, rows, DOCS)
 
 
@@ -85,9 +86,9 @@ def test_token_files(spark, tmp_path):
     path, vocabulary = f"file://{tmp_path}/ids", queries.vocabulary("byte_bpe_50k.json")
     token_files.write_token_files(docs, path, vocabulary, 2, partitions=3)
     got = token_files.read_token_files(spark, path).orderBy("start").collect()
-    tok = Tokenizer.from_file(vocabulary)
+    tok = Tokenizer.from_file(vocabulary)  # as it is loaded: an added token's text is that token
     encode = lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, 2]
-    assert [x.doc_id for x in got] == [None, 1, 1, 2, 3, 4, 5, 6]
+    assert [x.doc_id for x in got] == [None, 1, 1, 2, 3, 4, 5, 6, 8]
     assert Counter((x.doc_id, tuple(x.ids)) for x in got) == Counter((i, tuple(encode(t))) for i, t in rows)
     assert [x.start for x in got] == np.cumsum([0, *[x.n_tokens for x in got]])[:-1].tolist()
     crc = token_files.read_token_files(spark, path).mapInArrow(token_files.checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -189,14 +190,26 @@ def test_lattice_sums_over_all_segmentations():
 
     words = ["the", "thha,", "é", "Ångström😀", "aaaa", "x" * 12, "中文"]
     assert pieces.lattice(words) == pytest.approx([math.log(ways("▁" + w)) for w in words])
-    # expected uses: the derivative of the log probability by the log weight of a piece
-    uses = np.zeros(len(pieces.log_p))
-    pieces.lattice(words, np.ones(len(words)), uses)
-    for k in np.argsort(-uses)[:5]:
-        log_p = pieces.log_p.copy()
-        log_p[k] += 1e-5
-        moved = subword_lattice.replace(pieces, log_p=log_p).lattice(words).sum() - pieces.lattice(words).sum()
-        assert moved / 1e-5 == pytest.approx(uses[k], rel=1e-3)
+    many = np.array(["thha,thé中😀" * k for k in (6, 20)])
+    assert [pieces._long(letters_of(w)) for w in many] == pytest.approx([pieces._equal(letters_of(w)[:, None])[0] for w in many])
+
+
+def letters_of(word):
+    return np.frombuffer(f"▁{word}".encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+def test_piece_weights_fall_with_the_rank_of_the_score():
+    got = subword_lattice.piece_weights(np.array([-5.0, 0.0, -5.0, -np.inf]))
+    assert got == pytest.approx(np.array([1 / 11, 1 / 10, 1 / 12, 1 / 13]) / (1 / 10 + 1 / 11 + 1 / 12 + 1 / 13))
+
+
+def test_words_are_scored_in_batches_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(subword_lattice, "TOGETHER", 10)
+    words = [b"abc", b"defg", b"x" * 50, b"", b"hijklm", b"no", b"p" * 9, b"q"]
+    batches = [pa.record_batch([pa.array(w, pa.binary())], names=["word"]) for w in (words[:5], words[5:])]
+    tables = [t["word"].to_pylist() for t in subword_lattice.together(iter(batches))]
+    assert [w for t in tables for w in t] == words
+    assert all(len(t) == 1 or sum(map(len, t[:-1])) < 10 for t in tables)
 
 
 @pytest.mark.parametrize("frequent", [2e-5, 0.2])
@@ -204,15 +217,22 @@ def test_lattice_scores(spark, monkeypatch, frequent):
     monkeypatch.setattr(subword_lattice, "FREQUENT", frequent)
     rows, docs = texts(spark)
     held = F.coalesce(F.col("doc_id"), F.lit(0)) == 6
-    got = subword_lattice.score_texts(docs.withColumn("training", ~held), queries.vocabulary("piece_bpe_32k.model"), rounds=1).collect()
+    got = subword_lattice.score_texts(docs.withColumn("training", ~held), queries.vocabulary("piece_bpe_32k.model")).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), b" "]
     c = Counter(w for i, t in rows if i != 6 for w in tokens(t))
     n, v = sum(c.values()), len(c)
     base = lambda t: sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t))
     want = sorted((str(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(base(t), 4)) for i, t in rows)
     assert sorted((str(x.doc_id), x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 4)) for x in got) == want
-    assert all(x.score < 0 for x in got)
-    empty = subword_lattice.score_texts(docs.limit(0).withColumn("training", F.lit(True)), queries.vocabulary("piece_bpe_32k.model"), rounds=0)
+    pieces = subword_lattice.Pieces.of(queries.vocabulary("piece_bpe_32k.model"))
+
+    def log_p(w):
+        z = pieces.log_end if w == b" " else pieces.lattice([w.decode()])[0]
+        return math.log10(max(c[w] - 0.5, 0) / n + 0.5 * v / n * math.exp(z))
+
+    scores = sorted((str(i), round(sum(map(log_p, tokens(t))), 4)) for i, t in rows)
+    assert sorted((str(x.doc_id), round(x.score, 4)) for x in got) == scores
+    empty = subword_lattice.score_texts(docs.limit(0).withColumn("training", F.lit(True)), queries.vocabulary("piece_bpe_32k.model"))
     assert empty.count() == 0
 
 
