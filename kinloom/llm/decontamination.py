@@ -1,23 +1,26 @@
 """Benchmark decontamination with a positional inverted index.
 
-Test items are cut into windows of consecutive words. The index holds, for each training document, the postings
-of every test term in it: the term and its sorted positions. It is written to the shared folder, and its counts
-give each term's frequency over all documents. A window is looked up from its rarest term: the positions of that
-term, less its offset in the window, are the possible starts, and the lists of the other terms, adjusted by
-their offsets, are intersected with them from rare to frequent until none is left.
-
-The words of a test set are handled in blocks of bounded size, each against all documents; the index of a block
-holds its terms only. So what each task is sent doesn't grow with the test set, nor with the documents.
+The index holds the postings of every term of every training document, whatever the test set: a shard of it is a run
+of documents, and for each document the index has its terms in order of their hashes, and each term's sorted
+positions. It is written to the shared folder once and read for any number of test sets.
+
+Test items are cut into windows of consecutive words. The index gives each test term's frequency over all documents.
+A window is looked up from its rarest term: the positions of that term, less its offset in the window, are the
+possible starts, and the lists of the other terms, adjusted by their offsets, are intersected with them from rare to
+frequent until none is left.
+
+The words of a test set are handled in blocks of bounded size, each against the whole index, so what each task is
+sent doesn't grow with the test set, nor with the documents. Words are told apart by hashes of 64 bits.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 
-INDEX = "key long, doc_id long, n_words long, terms array<int>, counts array<int>, positions array<int>"
+INDEX = "key long, doc_id long, n_words long, terms binary, counts binary, positions binary"
 MATCHES = "key long, doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<long>, near array<long>"
 
 
@@ -40,12 +43,18 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_WORD_BYTES).split()
 
 
-def blocks(items: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Items (item_id, text) with their words, in blocks; those without id or words are left out."""
+def hashes_of(text: str) -> np.ndarray:
+    """The words' hashes in the text's order."""
+    found = words_of(text)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+
+
+def blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Items (item_id, text) with their words' hashes, in blocks; those without id or words are left out."""
     block: list = []
     size = 0
     for row in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator():
-        if words := words_of(row.text):
+        if len(words := hashes_of(row.text)):
             block.append((row.item_id, words))
             size += len(words)
         if size >= BLOCK_WORDS:
@@ -55,82 +64,138 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
         yield block
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """Postings of the vocabulary's terms in docs (doc_id, text), one row for each document, kept on disk."""
+def build_index(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """Postings of all terms of docs (doc_id, text), one row for each document; kept on disk.
+
+    terms: distinct hashes, ascending (64 bits); counts: occurrences of each; positions: of each term in turn,
+    ascending (32 bits). key names a column that tells rows apart; without it rows are numbered here, once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, texts in slices(batch, "text"):
                 rows = []
                 for text in texts:
-                    found = words_of(text)
-                    ids = np.fromiter((vocabulary.get(w, -1) for w in found), np.int32, len(found))
-                    at = np.flatnonzero(ids >= 0)
-                    order = np.argsort(ids[at], kind="stable")
-                    terms, counts = np.unique(ids[at], return_counts=True)
-                    rows.append((len(found), terms, counts, at[order]))
-                lists = [pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in (1, 2, 3)]
+                    h = hashes_of(text)
+                    order = np.argsort(h, kind="stable")
+                    own = h[order]
+                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+                    counts = np.diff(np.append(first, len(own)))
+                    rows.append((len(h), own[first].tobytes(), counts.astype("<u4").tobytes(), order.astype("<u4").tobytes()))
+                lists = [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]
                 yield pa.record_batch(
                     [piece.column("key"), piece.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), *lists],
                     names=["key", "doc_id", "n_words", "terms", "counts", "positions"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    number = F.col(key).cast("long") if key else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return stored(rows.mapInArrow(run, INDEX), "postings")
 
 
-def frequencies(index: DataFrame) -> dict[int, int]:
-    """How often each term occurs in all documents. As many rows as the block has terms."""
-    each = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-    return dict(each.groupBy("x.terms").agg(F.sum("x.counts")).collect())
+def frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each of the vocabulary's hashes (ascending) occurs in all documents."""
+    sent = index.sparkSession.sparkContext.broadcast(vocabulary)  # of one block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        total = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            terms = np.frombuffer(b"".join(batch.column("terms").to_pylist()), "<u8")
+            counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<u4")
+            at = np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)
+            hit = wanted[at] == terms
+            total += np.bincount(at[hit], counts[hit], len(wanted)).astype(np.int64)
+        used = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used])], names=["term", "n"])
+
+    each = index.select("terms", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(vocabulary), np.int64)
+    for row in each.toLocalIterator():  # as many rows as the block has terms, at most
+        out[row.term] = row.n
+    return out
 
 
 class Windows:
-    """The distinct windows of a block, by their rarest term; those with a term that never occurs are left out."""
-
-    def __init__(self, items: list[tuple[int, list[int]]], frequency: dict[int, int], width: int) -> None:
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for item_id, terms in items:
-            for i in range(max(1, len(terms) - width + 1)):
-                owners.setdefault(tuple(terms[i : i + width]), set()).add(item_id)
-        self.by_rarest: dict[int, list[tuple]] = {}
-        for terms, item_ids in owners.items():
-            if all(t in frequency for t in terms):
-                offsets = sorted(range(len(terms)), key=lambda o: (frequency[terms[o]], terms[o], o))
-                plan = [(terms[o], o) for o in offsets]
-                self.by_rarest.setdefault(plan[0][0], []).append((frozenset(terms), plan, terms, tuple(item_ids)))
-
-    def search(self, lists: dict[int, list[int]], slop: int) -> tuple[list[tuple[int, int]], set[int], set[int]]:
-        """Starts and ends of the phrases that occur, the items they are of, and those near enough."""
-        sets: dict[int, set[int]] = {}
+    """The distinct windows of a block in order of their rarest term; those with a term that never occurs are left out.
+
+    All arrays: a window is a row of numbers in the vocabulary, filled up with -1, and a row of its offsets from
+    the rarest term to the most frequent.
+    """
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], vocabulary: np.ndarray, frequency: np.ndarray, width: int) -> None:
+        rows, owner = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)]
+        for item_id, hashes in items:
+            terms = np.searchsorted(vocabulary, hashes).astype(np.int32)
+            if len(terms) < width:
+                terms = np.append(terms, np.full(width - len(terms), -1, np.int32))
+            own = np.lib.stride_tricks.sliding_window_view(terms, width)
+            rows.append(own)
+            owner.append(np.full(len(own), item_id, np.int64))
+        terms, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        often = np.where(terms >= 0, frequency[terms], np.iinfo(np.int64).max)
+        order = np.argsort(often, axis=1, kind="stable").astype(np.int16)
+        rarest = np.take_along_axis(terms, order[:, :1].astype(np.int64), 1)[:, 0] if len(terms) else np.zeros(0, np.int32)
+        place = np.argsort(rarest, kind="stable")
+        place = place[often[place].min(1) > 0] if len(place) else place
+        self.vocabulary, self.terms, self.order, self.rarest = vocabulary, terms[place], order[place], rarest[place]
+        self.length = (self.terms >= 0).sum(1)
+        new = np.full(len(terms), -1)
+        new[place] = np.arange(len(place))
+        pairs = np.unique(np.stack([new[which.ravel()], np.concatenate(owner)]), axis=1)
+        self.owners = pairs[1, pairs[0] >= 0]
+        self.bounds = np.searchsorted(pairs[0, pairs[0] >= 0], np.arange(len(place) + 1))
+
+    def search(self, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, at: np.ndarray, slop: int) -> tuple:
+        """Starts and ends of the phrases that occur, the items they are of, and those near enough.
+
+        at is scratch space: -1 for each term of the vocabulary.
+        """
         spans, items, near = set(), set(), set()
-        for rarest in lists.keys() & self.by_rarest.keys():
-            for needed, plan, terms, owners in self.by_rarest[rarest]:
-                if not needed <= lists.keys():
-                    continue
-                starts = {p - plan[0][1] for p in lists[rarest]}
-                for term, offset in plan[1:]:
-                    if term not in sets:
-                        sets[term] = set(lists[term])
-                    own = sets[term]
-                    starts = {s for s in starts if s + offset in own}
-                    if not starts:
+        n = len(self.vocabulary)
+        known = np.minimum(np.searchsorted(self.vocabulary, terms), max(n - 1, 0))
+        own = np.flatnonzero(self.vocabulary[known] == terms) if n else np.zeros(0, np.int64)
+        here = known[own]
+        first, last = np.searchsorted(self.rarest, here), np.searchsorted(self.rarest, here, "right")
+        some = last - first
+        candidates = np.repeat(first - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))
+        if len(candidates):
+            at[here] = own
+            rows = self.terms[candidates]
+            candidates = candidates[((at[rows] >= 0) | (rows < 0)).all(1)]
+            ends = np.cumsum(counts, dtype=np.int64)
+            lists: dict[int, np.ndarray] = {}
+
+            def of(term: int) -> np.ndarray:
+                if term not in lists:
+                    k = at[term]
+                    lists[term] = positions[ends[k] - counts[k] : ends[k]].astype(np.int64)
+                return lists[term]
+
+            for w in candidates.tolist():
+                length, row = int(self.length[w]), self.terms[w]
+                starts = None
+                for o in self.order[w, :length].tolist():
+                    shifted = of(int(row[o])) - o
+                    starts = shifted if starts is None else starts[np.isin(starts, shifted, assume_unique=True)]
+                    if not len(starts):
                         break
-                if starts:
-                    spans.update((s, s + len(terms)) for s in starts)
+                owners = self.owners[self.bounds[w] : self.bounds[w + 1]].tolist()
+                if len(starts):
+                    spans.update((s, s + length) for s in starts.tolist())
                     items.update(owners)
-                elif slop and closest(terms, lists) <= len(terms) + slop:
+                elif slop and closest([of(t).tolist() for t in row[:length].tolist()]) <= length + slop:
                     near.update(owners)
+            at[here] = -1
         return merged(spans), items, near - items
 
 
-def closest(terms: tuple[int, ...], lists: dict[int, list[int]]) -> float:
-    """Length of the shortest stretch that holds the terms in their order, other words between them."""
+def closest(lists: list[list[int]]) -> float:
+    """Length of the shortest stretch that holds a position of each list in their order, others between them."""
     best = float("inf")
-    for start in lists[terms[0]]:
+    for start in lists[0]:
         at = start
-        for t in terms[1:]:
-            own = lists[t]
+        for own in lists[1:]:
             if (i := bisect_right(own, at)) == len(own):
                 return best
             at = own[i]
@@ -150,18 +215,16 @@ def merged(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def search_index(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
-    sent = index.sparkSession.sparkContext.broadcast(windows)  # at most BLOCK_WORDS windows
+    sent = index.sparkSession.sparkContext.broadcast(windows)  # at most BLOCK_WORDS windows, about 60 bytes each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = sent.value
+        at = np.full(len(windows.vocabulary), -1, np.int64)
         for batch in batches:
-            terms, counts, positions = (batch.column(c) for c in ("terms", "counts", "positions"))
-            flat_terms, flat_counts, flat_positions = (x.values.to_numpy(zero_copy_only=False) for x in (terms, counts, positions))
-            bounds, at = terms.offsets.to_pylist(), positions.offsets.to_pylist()
             found = []
-            for (a, b), (p, q) in zip(pairwise(bounds), pairwise(at), strict=True):
-                own, ends = flat_positions[p:q].tolist(), np.cumsum(flat_counts[a:b]).tolist()
-                lists = {t: own[i:j] for t, i, j in zip(flat_terms[a:b].tolist(), [0, *ends], ends, strict=False)}
-                found.append(sent.value.search(lists, slop))
+            for row in zip(*(batch.column(c) for c in ("terms", "counts", "positions")), strict=True):
+                terms, counts, positions = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, ("<u8", "<u4", "<u4"), strict=True))
+                found.append(windows.search(terms, counts, positions, at, slop))
             spans = pa.array(
                 [[{"start": s, "stop": e} for s, e in x[0]] for x in found],
                 pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])),
@@ -175,7 +238,7 @@ def search_index(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
     return index.mapInArrow(run, MATCHES)
 
 
-def find_items(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, key: str | None = None) -> DataFrame:
     """Where windows of items (item_id, text) occur in docs (doc_id, text).
 
     Returns one row for each row of docs: key (of the row), doc_id, n_words, spans (stretches of words inside
@@ -185,19 +248,26 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0
 
     A window is width consecutive words; an item of fewer words is one window. Null and empty texts have no
     words. An item without id is left out; items with equal ids count as one; repeated documents each keep
-    their row. Without items, every row has empty lists; without documents there are no rows.
+    their row. Without items, every row has empty lists; without documents there are no rows. Texts of any length
+    are indexed whole. key names a column of docs that tells its rows apart, if there is one; further columns
+    are not read.
     """
+    return search_items(build_index(docs, key), items, width, slop)
+
+
+def search_items(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
+    """find_items() over an index that build_index() returned."""
     found = None
+    several = False
     for block in blocks(items):
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in block for w in words))}
-        index = build_index(docs, vocabulary)
-        numbered = [(item_id, [vocabulary[w] for w in words]) for item_id, words in block]
-        own = search_index(index, Windows(numbered, frequencies(index), width), slop)
-        found = own if found is None else found.unionByName(own)
-        several = found is not own
+        vocabulary = np.unique(np.concatenate([h for _, h in block]))
+        own = search_index(index, Windows(block, vocabulary, frequencies(index, vocabulary), width), slop)
+        several = found is not None
+        found = found.unionByName(own) if several else own
     if found is None:
-        return search_index(build_index(docs, {}), Windows([], {}, width), slop)
-    return found if not several else across_blocks(found)
+        none = np.zeros(0, np.uint64)
+        return search_index(index, Windows([], none, np.zeros(0, np.int64), width), slop)
+    return across_blocks(found) if several else found
 
 
 def across_blocks(found: DataFrame) -> DataFrame:

@@ -465,16 +465,17 @@ def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def join_components(docs: DataFrame, width: int = 5) -> DataFrame:
+def join_components(docs: DataFrame, width: int = 5, key: str | None = None) -> DataFrame:
     """Group docs (doc_id, text) by links between sets with a Jaccard similarity of 0.8 or more.
 
     Returns one row for each row of docs: key (of the row), doc_id, n_shingles and component_id, the smallest
     doc_id that the row reaches by links, its own included. Texts with fewer than width words are one shingle
     of all their words; null and empty texts have no set, no links, and their own id. Rows with equal sets are
     linked, repeated rows too. A row without id takes part but gives no component its id; a component of such
-    rows only has none. An empty table gives no rows.
+    rows only has none. An empty table gives no rows. Texts of any length are compared whole. key names a column of
+    docs that tells its rows apart, if there is one; further columns are not read.
     """
-    placed = placed_rows(docs, width)
+    placed = placed_rows(docs, width, key)
     least = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (
         placed.withColumn("join_key", spread())
@@ -483,10 +484,10 @@ def join_components(docs: DataFrame, width: int = 5) -> DataFrame:
     )
 
 
-def linked_rows(docs: DataFrame, width: int = 5) -> DataFrame:
+def linked_rows(docs: DataFrame, width: int = 5, key: str | None = None) -> DataFrame:
     """key, doc_id and group of each row of docs: linked rows have equal groups, whatever their ids; a row without a set is alone."""
     alone = F.col("n") == 0
-    return placed_rows(docs, width).select("key", "doc_id", F.struct(alone.alias("alone"), F.when(alone, F.col("key")).otherwise(F.col("component")).alias("of")).alias("group"))
+    return placed_rows(docs, width, key).select("key", "doc_id", F.struct(alone.alias("alone"), F.when(alone, F.col("key")).otherwise(F.col("component")).alias("of")).alias("group"))
 
 
 def spread() -> Column:
@@ -494,13 +495,13 @@ def spread() -> Column:
     return F.coalesce("component", F.xxhash64("key"))
 
 
-def placed_rows(docs: DataFrame, width: int) -> DataFrame:
+def placed_rows(docs: DataFrame, width: int, key: str | None = None) -> DataFrame:
     """key, doc_id, n (shingles), id (of the set) and component of each row of docs; component is null without a set.
 
-    A column key of docs is taken for the row's key; it must be stable, as that of common.keyed().
+    key names a column of docs that tells its rows apart, as common.keyed() makes; without it rows are numbered here.
     """
-    key = F.col("key").cast("long") if "key" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    number = F.col(key).cast("long") if key else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     nodes = make_nodes(rows, width)
     own = nodes.where("key IS NOT NULL")
     tokens = own.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0

@@ -61,7 +61,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", doc_id="long", text="string")
     items = common.table(spark, sf_dir, "benchmark", item_id="long", text="string")
-    found = decontamination.find_items(docs, items, width=10)
+    found = decontamination.find_items(docs, items, width=10, slop=1)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
     return found.select(
@@ -71,6 +71,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.array_join(F.array_sort(F.col("near").cast("array<string>")), ",").alias("near_items"),
     )
 
 
@@ -98,10 +99,21 @@ covered AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i,
 items AS (
   SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
   FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY k
+),
+gapped AS (
+  SELECT k, n, i, g, array_to_string(w[i:i + g - 1] || w[i + g + 1:i + n], ' ') AS t
+  FROM (SELECT k, n, i, w, unnest(range(1, n)) AS g
+        FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 1)) AS i FROM dw, (SELECT DISTINCT n FROM windows) WHERE len(w) > n))
+),
+close AS (
+  SELECT k, string_agg(s, ',' ORDER BY s) AS near
+  FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS s FROM gapped JOIN windows USING (n, t)
+        ANTI JOIN (SELECT DISTINCT k, item_id FROM hits) USING (k, item_id)) GROUP BY k
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN covered USING (k) LEFT JOIN items USING (k)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(near, '') AS near_items
+FROM dw LEFT JOIN covered USING (k) LEFT JOIN items USING (k) LEFT JOIN close USING (k)
 """
 
 
