@@ -40,7 +40,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row without id stays only where its whole group has none: the group's first. Rows without words have no group.
     """
     rows = common.keyed(docs, **COLUMNS)
-    first = jaccard_join.linked_rows(rows).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row"))
+    first = jaccard_join.linked_rows(rows, key="key").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row"))
     return rows.join(first.select("row.key"), "key", "left_semi").select(*COLUMNS)
 
 
@@ -48,7 +48,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of ten words of a benchmark item go."""
     rows = common.keyed(docs, **COLUMNS)
     items = common.table(spark, sf_dir, "benchmark", item_id="long", text="string")
-    hit = decontamination.find_items(rows, items).where(F.size("spans") > 0).select("key")
+    hit = decontamination.find_items(rows, items, key="key").where(F.size("spans") > 0).select("key")
     return rows.join(hit, "key", "left_anti").select(*COLUMNS)
 
 
