@@ -143,7 +143,7 @@ def frequency_levels(nodes: DataFrame) -> np.ndarray:
 
 
 def shared_prefixes(rows: DataFrame, width: int, levels: np.ndarray, tokens_in_all: int) -> DataFrame:
-    """(token, id, n): nodes by each prefix shingle that another node has too; kept on disk.
+    """(token, id, n): nodes by each prefix shingle that another node of a size that can match has too; kept on disk.
 
     The nodes of a shingle that the sketch takes for frequent are dealt to SPLIT tasks for each of its levels, by
     their id, so a hot shingle is no task of its own; there, a single node may stay, which closes its group later.
@@ -173,31 +173,32 @@ def shared_prefixes(rows: DataFrame, width: int, levels: np.ndarray, tokens_in_a
                 yield pa.record_batch([pa.array(x) for x in (flat, part, owner, n)], names=["token", "part", "id", "n"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "part", "id", "n"]
-        held, held_shared = np.zeros((4, 0), np.int64), False  # the last row, until the next one is known
+        names = ["token", "part", "n", "id"]
+        held, held_met = np.zeros((4, 0), np.int64), False  # the last row, until the next one is known
         for batch in chain(batches, [None]):
             x = held
             if batch is not None:
                 new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
                 x = np.concatenate([held, np.stack(new)], axis=1)
-                x = x[:, np.append(True, (x[:3, 1:] != x[:3, :-1]).any(0))[: x.shape[1]]]
+                x = x[:, np.append(True, (x[:, 1:] != x[:, :-1]).any(0))[: x.shape[1]]]
             if not x.shape[1]:
                 continue
-            alike = x[0, 1:] == x[0, :-1]
-            before = np.append(held_shared, alike)
-            chosen = before | np.append(alike, False) | (x[1] > 0)
+            # Rows come by size, so a row that can match any has a neighbour that it can match.
+            meets = (x[:2, 1:] == x[:2, :-1]).all(0) & (5 * x[2, :-1] >= 4 * x[2, 1:])
+            before = np.append(held_met, meets)
+            chosen = before | np.append(meets, False) | (x[1] > 0)
             if batch is not None:
                 chosen[-1] = False
             if chosen.any():
-                yield pa.record_batch([pa.array(x[0, chosen]), pa.array(x[2, chosen]), pa.array(x[3, chosen].astype(np.int32))], names=["token", "id", "n"])
-            held, held_shared = x[:, -1:], bool(before[-1])
+                yield pa.record_batch([pa.array(x[0, chosen]), pa.array(x[3, chosen]), pa.array(x[2, chosen].astype(np.int32))], names=["token", "id", "n"])
+            held, held_met = x[:, -1:], bool(before[-1])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens_in_all * 24 // PARTITION)
     sorted_rows = (
         rows.select("text")
         .mapInArrow(emit, "token long, part int, id long, n int")
         .repartition(parts, "token", "part")
-        .sortWithinPartitions("token", "part", "id")
+        .sortWithinPartitions("token", "part", "n", "id")
     )
     return stored(sorted_rows.mapInArrow(shared, "token long, id long, n int"), "jaccard-shared")
 
@@ -335,26 +336,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def open_groups(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(token, id, n, component): the rows of groups with several components; kept on disk.
+def open_groups(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(token, id, n, component): the rows of groups (token, id, n) with several components; kept on disk.
 
-    Of groups with the same members one is kept. Rows whose size no other component of their group can match go.
+    Of groups with the same members one is kept.
     """
-    placed = shared.select("token", "id", "n")
+    placed = groups.select("token", "id", "n")
     if labels is None:
         placed = placed.withColumn("component", F.col("id"))
     else:
         placed = placed.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     members_of = [F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit("second")))]
-    sizes = placed.groupBy("token").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"),
-        *[m.alias(f"m{i}") for i, m in enumerate(members_of)],
-    )
-    mixed = sizes.where("x < y").groupBy("m0", "m1", "m2").agg(F.min(F.struct("token", "least", "most")).alias("g")).select("g.*")
-    # A pair of two needs sizes that match; in larger groups, tiles look closer.
-    alone = (F.col("least") * 5 < F.col("most") * 4) & (F.col("m0") == 2)
-    two = sizes.where(alone).select("token")
-    return stored(placed.join(mixed.join(two, "token", "left_anti").select("token"), "token", "left_semi"), "jaccard-open")
+    sizes = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), *[m.alias(f"m{i}") for i, m in enumerate(members_of)])
+    mixed = sizes.where("x < y").groupBy("m0", "m1", "m2").agg(F.min("token").alias("token")).select("token")
+    return stored(placed.join(mixed, "token", "left_semi"), "jaccard-open")
 
 
 def led(groups: DataFrame, turn: int) -> DataFrame:
@@ -507,6 +502,7 @@ def placed_rows(docs: DataFrame, width: int, key: str | None = None) -> DataFram
     tokens = own.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     shared = shared_prefixes(rows, width, frequency_levels(nodes), tokens)
     groups, labels, found, turn, worth = open_groups(shared, None), None, None, 0, True
+    discard(shared)
     while worth and (left := groups.count()):
         new = links(possible(led(groups, turn), own), rows, width)
         worth = new.count() >= WORTH * left
@@ -516,10 +512,10 @@ def placed_rows(docs: DataFrame, width: int, key: str | None = None) -> DataFram
         if labels is not None:
             discard(labels)
         labels, turn = components(found), turn + 1
-        discard(groups)
-        groups = open_groups(shared, labels)
+        before, groups = groups, open_groups(groups, labels)
+        discard(before)
     across = stored(tiles(groups, own), "jaccard-across")
-    discard(shared, groups)
+    discard(groups)
     if not across.isEmpty():
         more = links(across, rows, width)
         labels = components(found.unionByName(more))
