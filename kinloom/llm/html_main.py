@@ -29,9 +29,10 @@ from kinloom.llm.token_files import slices
 # Names of the elements of HTML, by how a parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
-UNSEEN = frozenset("head template svg math form button select option input textarea object audio video canvas dialog".split()) | RAW
+# What a page doesn't show as text: its head, templates, drawings, what media show where they can't play, and forms.
+UNSEEN = frozenset("head template svg form select option datalist object audio video canvas".split()) | (RAW - {"xmp"})
 BLOCK = frozenset(
-    "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer "
+    "html body address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table caption tbody td tfoot "
     "th thead tr ul head".split()
 )
@@ -53,10 +54,13 @@ BARRIER = frozenset("html body article aside div section main nav header footer
 LISTS = {"li": frozenset({"ul", "ol", "menu"}), "dd": frozenset({"dl"}), "dt": frozenset({"dl"})}
 CELLS = frozenset({"table"})
 
+#: Attributes as a browser's tokenizer reads them: a name and, behind =, a quoted value or one up to white space or the
+#: tag's end. A quote that nothing closes belongs to a value of the second kind, so it swallows no text.
+_ATTRIBUTE = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
 _markup = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
-_named = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_named = re.compile(r"(?<![^\s/\"'])(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _space = re.compile(r"[\s\x00]+")
 _letters = re.compile(r"[a-z]+")
 
@@ -123,6 +127,8 @@ def parse(page: str) -> list[Node]:
                         continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+            if tag == "xmp":  # shown as it is written
+                add(html.escape(page[at : end.start() if end else size]))
             at = end.end() if end else size
             continue
         holder = stack[-1][1]
@@ -244,9 +250,9 @@ MARKS = {
     "menu": "menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar tabs pagination pager skip",
     "header": "header masthead site-header logo branding top banner-top",
     "footer": "footer site-footer foot colophon copyright legal bottom",
-    "sidebar": "sidebar side rail widget related recommended trending popular archive tags more-stories",
+    "sidebar": "sidebar side rail widget widget-area secondary complementary related recommended trending popular recent archive tags more-stories",
     "notice": "cookie consent notice gdpr popup modal overlay alert banner message privacy newsletter subscribe paywall",
-    "advert": "ad ads advert advertisement adbox sponsor sponsored promo promotion adsense adslot",
+    "advert": "ad ads advert advertisement adbox ad-slot ad-unit ad-container banner-ad sponsor sponsored promo promotion adsense adslot",
     "comments": "comments comment comment-list responses reply replies disqus discussion respond user-comment",
     "share": "share social sharing follow toolbox",
     "content": "content article post entry entry-content post-body article-body main story text body page-content main-content",
@@ -254,7 +260,7 @@ MARKS = {
 }
 
 
-def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
     """Made pages whose elements are marked as content (1) or not (0)."""
     r = random.Random(seed)
 
@@ -283,18 +289,27 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
 
     def paragraph() -> str:
         text = words(1, 120)
+        if r.random() < 0.03:
+            text += f" <math><mi>{words(1, 1)}</mi></math>"
         if r.random() < 0.25:
             text += f" {r.choice((link(), f'<b>{words(1, 9)}</b>', f'<em>{words(1, 4)}</em>', '<br>'))} {words(1, 20)}"
         return element("p", text if r.random() > 0.05 else f"<b>{text}")
 
+    def boxed() -> str:
+        """One box of a sidebar, alone or in an element of its own."""
+        made = element(r.choice(("h2", "h3", "h4")), words(1, 4)) + r.choice((links, paragraph))()
+        return element(r.choice(("section", "div")), made, "sidebar", 0.7) if r.random() < 0.5 else made
+
     def clutter(kind: str) -> str:
         tags = {"menu": ("nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "div"), "sidebar": ("aside", "div", "section")}
-        inner = {"menu": links, "header": lambda: words(1, 6) + r.choice(("", links())), "share": links, "sidebar": lambda: element("h3", words(1, 4)) + r.choice((links, paragraph))()}
+        inner = {"menu": links, "header": lambda: words(1, 6) + r.choice(("", links())), "share": links, "sidebar": lambda: "".join(boxed() for _ in range(r.choice((1, 1, 2, 3))))}
         made = inner.get(kind, lambda: r.choice((lambda: words(2, 25), paragraph, lambda: words(2, 20) + link()))())()
         if kind == "comments":
             made = element("h3", words(1, 3)) + "".join(r.choice((paragraph, lambda: element("div", words(1, 4) + paragraph(), "comments", 0.5)))() for _ in range(r.randint(1, 6)))
         if kind == "footer":
             made = r.choice(("&copy; ", "")) + r.choice((words(2, 20), element("p", words(2, 20)), links()))
+        if r.random() < 0.15:
+            made += element("button", words(1, 3), kind, 0.3)
         tag = r.choice(tags.get(kind, ("div", "div", "section", "aside", "p") if kind != "comments" else ("div", "section", "ol")))
         sure = tag in ("nav", "header", "footer", "aside")
         return element(tag, made, kind, 0.5 if sure else 1.0, "0")
@@ -311,8 +326,8 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
             lambda: element("section", element("h2", words(1, 6)) + paragraph(), "content", 0.3),
         ]
         inner = [element("h1", words(2, 14))] * (r.random() < 0.85) + [r.choice(kinds)() for _ in range(r.randint(1, 12))]
-        if r.random() < 0.4:
-            inner.insert(r.randint(1, len(inner)), clutter(r.choice(("advert", "share", "sidebar", "notice", "comments"))))
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            inner.insert(r.randint(1, len(inner)), element("button", words(1, 3), "share", 0.4, "0") if r.random() < 0.2 else clutter(r.choice(("advert", "share", "sidebar", "notice", "comments"))))
         return "".join(inner)
 
     pages = []
@@ -340,17 +355,17 @@ def trained() -> Model:
 def extract(pages: DataFrame, model: Model) -> DataFrame:
     """Add text (the main text, empty if none) to pages and drop html; a null html is empty. No shuffle.
 
-    Every row keeps its place, repeated ones too; other columns are passed on; an empty table gives no rows.
-    Character references are decoded, runs of white space become one space, nothing else is dropped or cut.
+    Every row keeps its place, repeated ones too; an empty table gives no rows. A column text that pages has already
+    is replaced, all others are passed on, whatever their names. Pages of any length are read whole. Character
+    references are decoded, runs of white space become one space, nothing else is dropped or cut.
     """
+    kept = [n for n in pages.columns if n not in ("html", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, texts in slices(batch, "html_"):
-                kept = [n for n in piece.schema.names if n != "html_"]
-                columns = [piece.column(piece.schema.get_field_index(n)) for n in kept]
-                yield pa.record_batch([*columns, pa.array(map(model.text, texts), pa.string())], names=[*kept, "text"])
-
-    others = pages.drop("text").withColumn("html_", F.coalesce("html", F.lit(""))).drop("html")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema if f.name != "html_")
-    return others.mapInArrow(run, f"{fields}, text string")
+            for piece, texts in slices(batch, "html"):
+                yield pa.record_batch([*piece.columns[1:], pa.array(map(model.text, texts), pa.string())], names=[*kept, "text"])
+
+    rows = pages.select(F.coalesce("html", F.lit("")).alias("html"), *kept)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[1:])
+    return rows.mapInArrow(run, f"{fields}text string")
