@@ -215,7 +215,7 @@ def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = common.table(spark, sf_dir, "embeddings", vec_id="long", embedding="array<float>")
+    vectors = common.table(spark, sf_dir, "embeddings", vec_id="long", embedding="array<double>")
     return rotated_codes.nearest(vectors, lambda vec_id: vec_id % 100 == 0, k=10)
 
 
