@@ -234,26 +234,32 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, partitions: int | Non
 
     A null or empty text has no ids. Null ids, repeated ids and repeated rows keep their rows; an empty
     table gives none. docs is read twice (for the words, then for the codes) and must give each partition
-    the same rows in the same order, as a scan does; else an error says so.
+    the same rows in the same order, as a scan does; else an error says so. Texts of any length are encoded whole;
+    further columns are not read. A task encodes each of its words once, but for those that come again after
+    REMEMBERED others.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = (
         rows.mapInArrow(explode_words(pattern, n, WORDS), PACKED)
-        .repartition(n, "key")
+        .repartitionById(n, F.col("key").cast("int"))  # the words' own numbers of their partitions
         .mapInArrow(encode_words(vocabulary, pattern), PACKED)
     )
     codes = rows.mapInArrow(explode_words(pattern, n, CODES), PACKED)
     return (
         ids.unionByName(codes)
-        .repartition(n, "key")
+        .repartitionById(n, F.pmod("key", F.lit(n)).cast("int"))
         .sortWithinPartitions("block", F.col("kind").desc())
         .mapInArrow(reassemble, "doc_id long, ids array<int>")
     )
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """Add decoded (the bytes of the ids, joined) to rows with a column ids; an unknown id is an error."""
+    """Add decoded (the bytes of the ids, joined) to rows with a column ids; an unknown id is an error.
+
+    A column decoded that the rows have already is replaced, all others are passed on. A null list gives null.
+    """
+    encoded = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {i: b for b, i in ranks(vocabulary).items()}
@@ -262,6 +268,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             lists = batch.column(batch.schema.get_field_index("ids"))
             values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
             joined = [b"".join([token[i] for i in values[a:b].tolist()]) for a, b in pairwise(bounds)]
+            joined = [x if y.is_valid else None for x, y in zip(joined, lists, strict=True)] if lists.null_count else joined
             yield pa.record_batch([*batch.columns, pa.array(joined, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
