@@ -14,9 +14,10 @@ block that has them, and codes at about 1.5 bytes for each pre-token.
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Iterator
-from itertools import islice, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -83,20 +84,30 @@ class Splitter:
         return array("I", [codes.setdefault(w, len(codes)) for w in self.find(text)]).tobytes()
 
     def split(self, text: str) -> bytes:
-        """A chunk that begins and ends with visible characters splits alike whatever stands beside it."""
+        """A chunk that begins and ends with visible characters splits alike whatever stands beside it.
+
+        So the new chunks of a text are split together, where a pre-token that begins with a space begins a chunk.
+        """
         chunks = text.split(" ")
-        parts = list(map(self.memo.get, islice(chunks, 1, None)))
-        if None in parts:
-            for i, c in enumerate(islice(chunks, 1, None)):
-                if parts[i] is None:
-                    if not c or c[0].isspace() or c[-1].isspace():
-                        return self.code(text)
-                    if c not in self.memo:
-                        self.memo[c] = self.code(" " + c)
-                    parts[i] = self.memo[c]
-        if chunks[0] and chunks[0][-1].isspace():
+        first = chunks[0]
+        if first and first[-1].isspace():
             return self.code(text)
-        return self.code(chunks[0]) + b"".join(parts)
+        parts = list(map(self.memo.get, chunks))
+        parts[0] = self.code(first)
+        if at := [i for i, p in enumerate(parts) if p is None]:
+            new = list(dict.fromkeys([chunks[i] for i in at]))
+            if any(not c or c[0].isspace() or c[-1].isspace() for c in new):
+                return self.code(text)
+            words = self.find(f" {' '.join(new)}")
+            starts = [i for i, w in enumerate(words) if w[0] == " "]
+            if len(starts) != len(new):
+                return self.code(text)
+            codes = self.codes
+            made = array("I", [codes.setdefault(w, len(codes)) for w in words]).tobytes()
+            self.memo.update(zip(new, [made[4 * i : 4 * j] for i, j in pairwise([*starts, len(words)])], strict=True))
+            for i in at:
+                parts[i] = self.memo[chunks[i]]
+        return b"".join(parts)
 
 
 def explode_words(pattern: str, partitions: int, kind: int):
@@ -153,7 +164,20 @@ def explode_words(pattern: str, partitions: int, kind: int):
         if ids:
             yield from flush()
 
-    return run
+    return uncollected(run)
+
+
+def uncollected(run):  # noqa: ANN001, ANN201
+    """For functions of mapInArrow that make millions of small objects without cycles: no garbage collection meanwhile."""
+
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return quiet
 
 
 def rows_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -179,12 +203,12 @@ def encode_words(vocabulary: str, pattern: str):
                     memo.clear()
                 for w in words:
                     if w not in memo:
-                        memo[w] = np.array(encoding.encode_ordinary(w.decode()), "<u4").tobytes()
+                        memo[w] = array("I", encoding.encode_ordinary(w.decode())).tobytes()
                 ids = [memo[w] for w in words]
                 n_ids = np.array([len(x) // 4 for x in ids])
                 yield rows_of([(block, block, IDS, pack(ints(rank), n_ids, np.frombuffer(b"".join(ids), "<u4")))])
 
-    return run
+    return uncollected(run)
 
 
 def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
