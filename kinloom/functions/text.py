@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Short tables of our own, in natural order.
+# Short tables, in natural order. DIGRAPHS and ALIKE are those that skeletons must agree on; the others are our own.
 LEGAL = {
     "company": "co", "co": "co", "corporation": "corp", "corp": "corp", "gmbh": "gmbh", "incorporated": "inc", "inc": "inc",
     "limited": "ltd", "ltd": "ltd", "llc": "llc", "plc": "plc", "private": "pvt", "pvt": "pvt", "sa": "sa", "sarl": "sarl",
@@ -17,6 +17,8 @@ LEGAL = {
 NAME_STOP = ["and", "der", "die", "el", "la", "le", "of", "the", "und"]
 STREET = {"avenue": "ave", "boulevard": "blvd", "building": "bldg", "drive": "dr", "floor": "fl", "highway": "hwy", "lane": "ln", "road": "rd", "street": "st", "suite": "ste"}
 DIGRAPHS = [("ph", "f"), ("sh", "s"), ("ch", "c"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("kh", "k"), ("gh", "g"), ("ck", "k")]
+#: Letters that sound alike, and what stands for them.
+ALIKE = ("cqgdbwz", "kkktpvs")
 
 
 def basic(text: Column) -> Column:
@@ -50,14 +52,14 @@ def words(text: Column) -> Column:
 def skeleton(token: Column) -> Column:
     """Consonants of a token: digraphs and like letters folded, vowels, h and y dropped, repeats collapsed.
 
-    Tokens with a digit stay; a token that loses all letters keeps its first.
+    Tokens of digits alone stay; a token that loses all letters keeps its first.
     """
     out = token
     for a, b in DIGRAPHS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.replace(F.translate(out, "cqgdbwz", "kkktpvs"), F.lit("x"), F.lit("ks"))
+    out = F.replace(F.translate(out, *ALIKE), F.lit("x"), F.lit("ks"))
     out = F.regexp_replace(F.regexp_replace(out, "[aeiouyh]", ""), r"(.)\1+", "$1")
-    return F.when(token.rlike("[0-9]"), token).when(out == "", F.left(token, F.lit(1))).otherwise(out)
+    return F.when(token.rlike("^[0-9]+$"), token).when(out == "", F.left(token, F.lit(1))).otherwise(out)
 
 
 def lookup(token: Column, table: dict[str, str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,15 +94,37 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def exact_neighbours(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def exact_neighbours(queries: DataFrame, rows: DataFrame, k: int, block: int = 1_000, part: int = 20_000) -> DataFrame:
     """(qid, vid, rank, score): the k rows of greatest cosine to each query, over all rows.
 
-    queries (qid, q) is a stated set, sent to all tasks only while it is small; each task keeps k rows a query
-    before they are merged.
+    queries (qid, q) is a stated set. Blocks of about block queries meet parts of about part rows as products of two
+    matrices; of each, k rows a query move on. No task holds more than one block and one part.
     """
-    pairs = rows.join(queries, F.col("qid") != F.col("vid"))
-    scored = pairs.select("qid", "vid", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    return compete.ranked(scored, "qid", F.desc("score"), F.asc("vid")).where(F.col("rank") <= k)
+    blocks, parts = (max(1, -(-x.count() // n)) for x, n in ((queries, block), (rows, part)))
+
+    def placed(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        place = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own)
+        return df.select("*", place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def unit(lists: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(lists.to_pylist(), np.float64)
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def nearest(q: pa.Table, v: pa.Table) -> pa.Table:
+        out = {"qid": [], "vid": [], "score": []}
+        if len(q) and len(v):
+            qid, vid = q["qid"].to_numpy(), v["vid"].to_numpy()
+            score = np.round(unit(q["q"]) @ unit(v["v"]).T, 6)
+            score[qid[:, None] == vid[None]] = -np.inf
+            order = np.lexsort((np.broadcast_to(vid, score.shape), -score), axis=1)[:, :k]
+            best = np.take_along_axis(score, order, 1)
+            kept = np.isfinite(best)
+            out = {"qid": np.repeat(qid, kept.sum(1)), "vid": vid[order][kept], "score": best[kept]}
+        return pa.table({"qid": pa.array(out["qid"], pa.int64()), "vid": pa.array(out["vid"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+
+    q, v = placed(queries, "qid", "block", blocks, "part", parts), placed(rows, "vid", "part", parts, "block", blocks)
+    near = q.groupBy("block", "part").cogroup(v.groupBy("block", "part")).applyInArrow(nearest, "qid long, vid long, score double")
+    return compete.ranked(near, "qid", F.desc("score"), F.asc("vid")).where(F.col("rank") <= k)
 
 
 def union_scores(left: DataFrame, right: DataFrame, missing: float) -> DataFrame:

@@ -91,3 +91,18 @@ def candidate_filter(df: DataFrame, by: str, score: str, key: str, k: int, share
     """The first k rows of each group, those below a share of its best left out."""
     r = ranked(df, by, F.desc(score), F.asc(key), name="_r").withColumn("_best", F.max(score).over(Window.partitionBy(by)))
     return r.where((F.col("_r") <= k) & (F.col(score) >= share * F.col("_best"))).drop("_r", "_best")
+
+
+def running(df: DataFrame, by: str, columns: list[str], bins: int = 1000) -> DataFrame:
+    """df with each of the columns summed over all rows whose ``by`` (0 to 1, distinct) is at least the row's own.
+
+    Rows are summed within bins of by, and the bins' totals, one row for each, run on in one place; so no task
+    holds all rows.
+    """
+    binned = df.withColumn("_b", F.floor(F.col(by) * bins))
+    totals = binned.groupBy("_b").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_b", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}") for c in columns])
+    within = Window.partitionBy("_b").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
+    out = binned.join(before, "_b")
+    return out.withColumns({c: F.col(f"_{c}") + F.sum(c).over(within) for c in columns}).drop("_b", *[f"_{c}" for c in columns])

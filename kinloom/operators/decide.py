@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,44 +51,36 @@ def country_cuts(winners: DataFrame, cuts: dict[str, float]) -> DataFrame:
     return winners.where(F.col("p") >= cut)
 
 
-def prefix_utility(p: list[float], exact_limit: int = 64) -> int:
+def prefix_utility(p: list[float], floor: float = 0.0) -> int:
     """The number of first candidates with the greatest expected F0.5; the least on ties.
 
-    p is in falling order; each candidate is right independently. Taking none is right when all are wrong.
-    Up to exact_limit candidates the expectation is exact, beyond it is the ratio of expectations.
+    p is in falling order; each candidate is right independently. Taking none is right when all are wrong. Candidates
+    below the floor are never taken. The expectation is exact for any number of candidates.
     """
-    n = len(p)
-    none = 1.0
-    for x in p:
-        none *= 1 - x
-    best, k_best = none, 0
-    if n > exact_limit:
-        total, run = sum(p), 0.0
-        for k, x in enumerate(p, 1):
-            run += x
-            if (u := 1.25 * run / (0.25 * total + k)) > best + 1e-15:
-                best, k_best = u, k
-        return k_best
-    rest = [[1.0]]  # distribution of the right ones among the last i candidates
-    for x in reversed(p):
-        last = rest[-1]
-        rest.append([(last[j] if j < len(last) else 0.0) * (1 - x) + (last[j - 1] * x if j else 0.0) for j in range(len(last) + 1)])
-    head = [1.0]
+    n, p = len(p), np.asarray(p, np.float64)
+    best, k_best = float(np.prod(1 - p)), 0
+    rest = [np.ones(1)]  # distribution of the right ones among the last i candidates
+    for x in p[::-1]:
+        rest.append(np.convolve(rest[-1], [1 - x, x]))
+    head = np.ones(1)
     for k, x in enumerate(p, 1):
-        head = [(head[j] if j < len(head) else 0.0) * (1 - x) + (head[j - 1] * x if j else 0.0) for j in range(len(head) + 1)]
-        u = sum(a * b * 5 * h / (4 * k + h + m) for h, a in enumerate(head) if h for m, b in enumerate(rest[n - k]))
-        if u > best + 1e-15:
+        if x < floor:
+            break
+        head = np.convolve(head, [1 - x, x])
+        h, m = np.arange(1, k + 1)[:, None], np.arange(n - k + 1)[None]
+        u = float((head[1:, None] * (5 * h / (4 * k + h + m)) * rest[n - k][None]).sum())
+        if u > best + 1e-12:
             best, k_best = u, k
     return k_best
 
 
-@F.pandas_udf(T.IntegerType())
-def prefix_length(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda p: prefix_utility(list(p)))
+def expected_f(pairs: DataFrame, floor: float = 0.0) -> DataFrame:
+    """The accepted pairs: winners, and of each reference the first ones with the greatest expected F0.5."""
 
+    @F.pandas_udf(T.IntegerType())
+    def prefix_length(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda p: prefix_utility(p, floor))
 
-def expected_f(pairs: DataFrame) -> DataFrame:
-    """The accepted pairs: winners, and of each reference the first ones with the greatest expected F0.5."""
     won = compete.winners(pairs)
     lists = won.groupBy("qid").agg(F.sort_array(F.collect_list("p"), False).alias("ps")).select("qid", prefix_length("ps").alias("k"))
     return compete.ranked(won.join(lists, "qid"), "qid", F.desc("p"), F.asc("tid"), name="_r").where("_r <= k").drop("_r", "k")
@@ -122,12 +115,12 @@ def threshold_curve(refs: DataFrame, won: DataFrame) -> DataFrame:
     before = f_half(F.col("tp") - F.col("y"), F.col("n") - 1, F.col("deg"))
     steps = rows.groupBy("p").agg(F.sum(after - before).alias("d"), F.sum("y").alias("y"), F.count("*").alias("k"))
     base = refs.agg(F.sum((F.col("deg") == 0).cast("double")).alias("s"), F.count("*").alias("r")).first()
-    run = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each distinct score
-    return steps.select(
+    run = compete.running(steps, "p", ["d", "y", "k"])
+    return run.select(
         "p",
-        F.round((F.lit(float(base.s or 0)) + F.sum("d").over(run)) / max(1, base.r), 9).alias("f"),
-        F.sum("y").over(run).alias("tp"),
-        F.sum("k").over(run).alias("n"),
+        F.round((F.lit(float(base.s or 0)) + F.col("d")) / max(1, base.r), 9).alias("f"),
+        F.col("y").alias("tp"),
+        F.col("k").alias("n"),
     )
 
 

@@ -83,14 +83,14 @@ def propagate(
     return compete.ownership(out, "tid", "p").select("tid", "qid", F.col("start").alias("prior"), F.col("prior").alias("posterior"), "outside")
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over edges (src, dst), by labels that jump to their label's label.
 
     Lineage is cut by a checkpoint in the folder that all executors share.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("id"), F.min("dst")).alias("component"))
-    for _ in range(rounds):
+    while True:
         beside = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
         joined = labels.join(beside, "id").join(jump, "component")
@@ -98,7 +98,6 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         labels = after.select("id", F.col("next").alias("component"))
         if after.where("next < component").isEmpty():
             return labels
-    raise RuntimeError("components need more rounds")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinloom.plans import decisions, linkage, relational, sourcing, textual
+from kinloom.plans import decisions, linkage, relational, resolution, sourcing, textual
 
-MODULES = [sourcing, relational, textual, decisions, linkage]
+MODULES = [sourcing, relational, textual, decisions, linkage, resolution]
 
 
 def queries() -> dict:

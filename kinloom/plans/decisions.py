@@ -335,8 +335,9 @@ def graph_components_whole(s, d):
 def labelled(s, d):
     from pyspark.ml.feature import VectorAssembler
 
-    rows = part(s, d, "pairs").withColumn("deg", F.col("deg").cast("double"))
-    return VectorAssembler(inputCols=["p", "raw", "deg"], outputCol="x").transform(rows).withColumn("label", F.col("y").cast("double"))
+    w = Window.partitionBy("tid")
+    rows = part(s, d, "pairs").withColumn("rivals", F.count("*").over(w).cast("double")).withColumn("gap", F.max("p").over(w) - F.col("p"))
+    return VectorAssembler(inputCols=["p", "raw", "rivals", "gap"], outputCol="x").transform(rows).withColumn("label", F.col("y").cast("double"))
 
 
 @query()

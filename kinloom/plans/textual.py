@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import similarity, text
 from kinloom.operators import blocking, compete
 from kinloom.plans.fixtures import FX, part, read
+from kinloom.sources.files import numbered
 
 REGISTRY: dict = {}
 
@@ -53,12 +54,12 @@ for _a, _b in text.DIGRAPHS:
 SKELETON = f"replace(translate({SKELETON}, 'cqgdbwz', 'kkktpvs'), 'x', 'ks')"
 SKELETON = f"regexp_replace({SKELETON}, '[aeiouyh]', '', 'g')"
 # RE2 has no back references, so repeats are collapsed letter by letter.
-for _c in "bcdfgjklmnpqrstvwxz":
+for _c in "bcdfgjklmnpqrstvwxz0123456789":
     SKELETON = f"regexp_replace({SKELETON}, '{_c}+', '{_c}', 'g')"
 
 
 @query(f"""WITH t AS (SELECT DISTINCT unnest({sql_words(sql_basic('p_name'))}) AS token FROM part)
-SELECT token, CASE WHEN regexp_matches(token, '[0-9]') THEN token WHEN {SKELETON} = '' THEN left(token, 1) ELSE {SKELETON} END AS skeleton FROM t""")
+SELECT token, CASE WHEN regexp_matches(token, '^[0-9]+$') THEN token WHEN {SKELETON} = '' THEN left(token, 1) ELSE {SKELETON} END AS skeleton FROM t""")
 def skeleton(s, d):
     tokens = read(s, d, "part").select(F.explode(text.words(text.basic(F.col("p_name")))).alias("token")).distinct()
     return tokens.select("token", text.skeleton(F.col("token")).alias("skeleton"))
@@ -154,12 +155,9 @@ def whole_pair_texts(s, d):
 @query("""WITH n AS (SELECT DISTINCT p_name AS a FROM part), r AS (SELECT a, row_number() OVER (ORDER BY a) AS i FROM n)
 SELECT x.a, y.a AS b, levenshtein(x.a, y.a) AS distance, round(jaro_winkler_similarity(x.a, y.a), 6) AS jw FROM r x JOIN r y ON y.i BETWEEN x.i + 1 AND x.i + 5""")
 def sim_levenshtein_jaro_winkler(s, d):
-    from pyspark.sql import Window
-
-    w = Window.orderBy("a")
-    n = read(s, d, "part").select(F.col("p_name").alias("a")).distinct()
-    next_ones = n.select("a", F.array(*[F.lead("a", k).over(w) for k in range(1, 6)]).alias("bs"))
-    pairs = next_ones.select("a", F.explode("bs").alias("b")).where("b IS NOT NULL")
+    n = numbered(read(s, d, "part").select(F.col("p_name").alias("a")).distinct(), "a", "i")
+    ahead = n.select("a", F.explode(F.sequence(F.col("i") + 1, F.col("i") + 5)).alias("i"))
+    pairs = ahead.join(n.select(F.col("a").alias("b"), "i"), "i")
     return pairs.select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(similarity.jaro_winkler_of("a", "b"), 6).alias("jw"))
 
 
