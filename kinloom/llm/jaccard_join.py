@@ -40,7 +40,7 @@ LEADERS = 20
 #: a tile; bits of the filter of wanted sets, at most (a fuller filter lets more sets through, none is lost).
 SPREAD, LEAST_BITS, MOST_BITS, CELLS, TILE, FILTER_BITS = 4, 1024, 65536, 1 << 20, 500, 1 << 28
 #: A round of leaders is followed by another if it found so many links for each row in open groups.
-WORTH = 0.02
+WORTH = 0.05
 #: Bytes of prefix shingles that are dealt to a partition, about.
 PARTITION = 64 << 20
 #: Copies that a shingle's group is dealt into for each doubling of its sketched frequency over the threshold.
