@@ -38,7 +38,7 @@ from kinloom.llm.token_files import slices
 LEADERS = 20
 #: Bits of a signature, for each shingle and the least and most in all; counters of the sketch; nodes in a block of
 #: a tile; bits of the filter of wanted sets, at most (a fuller filter lets more sets through, none is lost).
-SPREAD, LEAST_BITS, MOST_BITS, CELLS, TILE, FILTER_BITS = 4, 1024, 65536, 1 << 20, 500, 1 << 28
+SPREAD, LEAST_BITS, MOST_BITS, CELLS, TILE, FILTER_BITS = 4, 2048, 65536, 1 << 20, 500, 1 << 28
 #: A round of leaders is followed by another if it found so many links for each row in open groups.
 WORTH = 0.05
 #: Bytes of prefix shingles that are dealt to a partition, about.
@@ -215,13 +215,12 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            differing = []
-            for x, y in zip(batch.column("a_bits"), batch.column("b_bits"), strict=True):
+            kept = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("an", "bn")), batch.column("a_bits"), batch.column("b_bits"), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), "<u8")[None] for v in (x, y))
                 width = min(p.shape[1], q.shape[1])
-                differing.append(int(np.bitwise_count(folded(p, width) ^ folded(q, width)).sum()))
-            total = sum(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("an", "bn"))
-            yield batch.select(["a", "b"]).filter(pa.array(may_match(total, np.array(differing, np.int64)), pa.bool_()))
+                kept.append(bool(may_match(np.int64(n), np.int64(m), folded(p, width), folded(q, width))[0]))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -234,12 +233,13 @@ def by_width(column: pa.ChunkedArray) -> tuple[np.ndarray, dict[int, tuple[np.nd
     return widths, {w: (at, np.frombuffer(b"".join(blobs[i] for i in at), "<u8").reshape(len(at), w)) for w, at in rows.items()}
 
 
-def may_match(total: np.ndarray, differing: np.ndarray) -> np.ndarray:
-    """Whether sets whose sizes sum to total and whose signatures differ in so many bits can reach 0.8.
+def may_match(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with the signatures p and q (rows of words, of one width) can reach 0.8.
 
-    Each differing bit stands for a shingle of one set alone, so twice the overlap is total - differing at most.
+    Each bit that is set in one signature alone stands for a shingle of that set alone, which bounds the overlap.
     """
-    return 9 * (total - differing) >= 8 * total
+    only_p, only_q = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (p & ~q, q & ~p))
+    return 9 * np.minimum(n - only_p, m - only_q) >= 4 * (n + m)
 
 
 def links(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -421,8 +421,7 @@ def tiles(groups: DataFrame, nodes: DataFrame) -> DataFrame:
                     if len(k):
                         width = min(w, int(widths[i]))
                         own = folded(x[int(widths[i])][1][row[i]][None], width)
-                        differing = np.bitwise_count(own ^ folded(bits_of[row[k]], width)).sum(1, dtype=np.int64)
-                        k = k[may_match(sizes[i] + sizes[k], differing)]
+                        k = k[may_match(sizes[i], sizes[k], own, folded(bits_of[row[k]], width))]
                         found.update((int(min(ids[i], m)), int(max(ids[i], m))) for m in ids[k])
             if found:
                 a, b = zip(*found, strict=True)
