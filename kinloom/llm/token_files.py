@@ -32,6 +32,8 @@ FORMAT = {
 }
 #: Characters of text that are encoded at once, and chunks that a worker remembers.
 SLICE_CHARS, REMEMBERED = 1_000_000, 250_000
+#: Slots of the table that tells a chunk's first sight from later ones.
+SEEN = 1 << 22
 #: Marks that often end a chunk: neither letters, digits nor white space, and no apostrophe.
 MARKS = ".,;:!?)]}\"#$%&*+-/<=>@\\^_`|~"
 
@@ -41,9 +43,10 @@ class ChunkEncoder:
 
     A byte-level tokenizer starts a pre-token at a space that precedes a visible character. So the ids of
     `` chunk`` don't depend on its neighbours, if the chunk begins and ends with a visible character. A line break
-    alone between visible characters is a pre-token, and so parts a chunk further. Texts with any other chunk
-    (runs of spaces, a line break beside a space) or with the text of an added token are encoded whole. Ids are
-    kept as the bytes of 32-bit integers, in two generations of bounded size, so that frequent chunks stay.
+    alone between visible characters is a pre-token, so a chunk ends there too, and the next begins with the break.
+    Texts with any other chunk (runs of spaces, a line break beside a space) or with the text of an added token are
+    encoded whole. Ids are kept as the bytes of 32-bit integers, from a chunk's second sight on (by a table of hashes; an equal hash only keeps a
+    chunk earlier), in two generations of bounded size, so that frequent chunks stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,8 +57,9 @@ class ChunkEncoder:
             raise ValueError("the tokenizer changes texts before it splits them, so chunks can't be encoded apart")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
         # The byte-level alphabet: visible bytes of Latin-1 stand for themselves, the others follow from 256 on.
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         self.letters = {b: 256 + i for i, b in enumerate(hidden)}
@@ -69,39 +73,48 @@ class ChunkEncoder:
     def word(self, letters: str, space: str) -> bytes:
         """One pre-token of letters."""
         word = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
-        return packed([t.id for t in self.tokenize(space + word)])
+        return array("i", [t.id for t in self.tokenize(space + word)]).tobytes()
 
     def apart(self, chunk: str, space: str) -> bytes:
         """The ids of a chunk that begins and ends with visible characters, behind a space or none."""
-        if chunk.isalpha():
-            return self.word(chunk, space)
         core = chunk.rstrip(MARKS)
-        if core.isalpha():  # letters are a pre-token, and so are the marks behind them
-            marks = chunk[len(core) :]
-            if (end := self.ends.get(marks)) is None:
-                end = self.whole(marks)
-                if len(self.ends) < REMEMBERED:
-                    self.ends[marks] = end
-            if not space:
-                return self.word(core, "") + end
-            return (self.young.get(core) or self.remember(core)) + end
-        first, broken, rest = chunk.partition("\n")
-        if broken and not first[-1].isspace() and not rest[0].isspace():
-            return self.apart(first, space) + self.newline + self.apart(rest, "")
-        return self.whole(f" {chunk}" if space else chunk)
+        if not core.isalpha():
+            return self.whole(f" {chunk}" if space else chunk)
+        marks = chunk[len(core) :]  # letters are a pre-token, and so are the marks behind them
+        if (end := self.ends.get(marks)) is None:
+            end = self.whole(marks)
+            if len(self.ends) < REMEMBERED:
+                self.ends[marks] = end
+        if space and (ids := self.young.get(core) or self.old.get(core)):
+            return ids + end
+        return self.word(core, space) + end
 
     def remember(self, chunk: str) -> bytes | None:
-        """The ids of a chunk that wasn't met lately, or None if it can't be encoded apart."""
-        ids = self.old.get(chunk, b"")
-        if ids == b"":
-            ids = self.apart(chunk, self.space) if chunk and not chunk[0].isspace() and not chunk[-1].isspace() else None
+        """The ids of a chunk that the young generation lacks, or None if it can't be encoded apart."""
+        if (ids := self.old.get(chunk)) is None:
+            if chunk.isalpha():
+                ids = self.word(chunk, self.space)
+            elif not chunk or chunk[-1].isspace():
+                return None
+            elif chunk[0] == "\n":
+                if chunk[1].isspace():
+                    return None
+                ids = self.newline + self.apart(chunk[1:], "")
+            elif chunk[0].isspace():
+                return None
+            else:
+                ids = self.apart(chunk, self.space)
+            slot = hash(chunk) % SEEN
+            if not self.seen[slot]:
+                self.seen[slot] = 1
+                return ids
         if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
+            self.old, self.young, self.seen = self.young, {}, bytearray(SEEN)
         self.young[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        chunks = text.split(" ")
+        chunks = text.replace("\n", " \n").split(" ")
         first = chunks[0]
         if first and first[-1].isspace() or any(x in text for x in self.added):
             return self.whole(text)
