@@ -45,11 +45,12 @@ def share_cap(n: int, least: int = 1) -> int:
 
 
 def cosine_all_tokens(targets: DataFrame, refs: DataFrame, makers: DataFrame) -> DataFrame:
-    """(tid, qid, score): cosine over all tokens (tid|qid, token, w) of the pairs that share a token of makers (token)."""
-    marked = refs.withColumnRenamed("w", "b").join(makers.select("token", F.lit(1).alias("makes")), "token", "left")
-    both = targets.withColumnRenamed("w", "a").join(marked, "token")
-    sums = both.groupBy("tid", "qid").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("score"), F.max("makes").alias("makes"))
-    return sums.where("makes = 1").select("tid", "qid", "score")
+    """(tid, qid, score): cosine over all tokens (tid|qid, token, w) of the pairs that share a token of makers (token).
+
+    Common tokens meet the pairs only, never each other's whole lists.
+    """
+    near = targets.select("tid", "token").join(refs.join(makers.select("token"), "token").select("qid", "token"), "token")
+    return cosine_of_pairs(near.select("tid", "qid").distinct(), targets, refs)
 
 
 def cosine_of_pairs(pairs: DataFrame, targets: DataFrame, refs: DataFrame) -> DataFrame:

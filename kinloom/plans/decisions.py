@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinloom.operators import compete, decide, graph, relational
 from kinloom.plans.fixtures import FX, part, read
+from kinloom.plans.records import RX, record
 
 REGISTRY: dict = {}
 
@@ -282,19 +283,30 @@ def calib_running_max(s, d):
 
 # graph
 
-EDGE = f"""{FX}, b AS (SELECT tid AS id, sr, concat(co, ' ', substr(text, 1, 14)) AS k, list_distinct(list_filter(string_split(lower(substr(text, 1, 120)), ' '), lambda w: w <> '')) AS w FROM targets),
+EDGE = f"""{RX}, b AS (SELECT tid AS id, sr, concat(co, ' ', split_part(name, ' ', 2)) AS k, list_distinct(list_filter(string_split(lower(concat(name, ' ', address)), ' '), lambda w: w <> '')) AS w FROM rec_targets),
 s AS (SELECT k FROM b GROUP BY 1 HAVING count(*) BETWEEN 2 AND 16), e AS (SELECT x.id AS src, y.id AS dst, round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 6) AS weight FROM b x JOIN b y USING (k) JOIN s USING (k) WHERE x.sr <> y.sr),
 t AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM e) WHERE r <= 4),
 m AS (SELECT t.* FROM t JOIN t u ON u.src = t.dst AND u.dst = t.src)"""
 
 
-def edges(s, d, whole=False):
-    """Edges between targets of a block; the SQL's weights see the first 120 characters, whole ones all words."""
+def linked(rows):
+    """Edges between rows (id, source, k, body) of a block, weighted by the words that two bodies share."""
+    tokens = F.array_distinct(F.filter(F.split(F.lower("body"), " "), lambda w: w != ""))
+    return graph.mutual_neighbours(graph.block_edges(rows.withColumn("tokens", tokens).drop("body"), "k", 16), 4)
+
+
+def edges(s, d):
+    """Targets of a country whose names share the second word, by all words of names and addresses."""
+    t = record(s, d, "rec_targets")
+    k = F.concat("co", F.lit(" "), F.split_part("name", F.lit(" "), F.lit(2)))
+    return linked(t.select(F.col("tid").alias("id"), F.col("sr").alias("source"), k.alias("k"), F.concat_ws(" ", "name", "address").alias("body")))
+
+
+def text_edges(s, d):
+    """Targets of a country whose texts begin alike, by all words of the texts."""
     t = part(s, d, "targets")
-    body = F.col("text") if whole else F.substring("text", 1, 120)
-    tokens = F.array_distinct(F.filter(F.split(F.lower(body), " "), lambda w: w != ""))
-    rows = t.select(F.col("tid").alias("id"), F.col("sr").alias("source"), F.concat("co", F.lit(" "), F.substring("text", 1, 14)).alias("k"), tokens.alias("tokens"))
-    return graph.mutual_neighbours(graph.block_edges(rows, "k", 16), 4)
+    k = F.concat("co", F.lit(" "), F.substring("text", 1, 14))
+    return linked(t.select(F.col("tid").alias("id"), F.col("sr").alias("source"), k.alias("k"), F.col("text").alias("body")))
 
 
 @query(f"{EDGE} SELECT src, dst, weight FROM m")
@@ -310,7 +322,7 @@ def graph_seeds(s, d):
 
 @query()
 def graph_messages(s, d):
-    out = graph.propagate(part(s, d, "pairs"), edges(s, d, whole=True))
+    out = graph.propagate(part(s, d, "pairs"), text_edges(s, d))
     return out.select("tid", "qid", *[F.round(c, 6).alias(c) for c in ("prior", "posterior", "outside")])
 
 
@@ -321,12 +333,12 @@ def graph_components(s, d):
 
 @query()
 def graph_mutual_topk_whole(s, d):
-    return edges(s, d, whole=True)
+    return text_edges(s, d)
 
 
 @query()
 def graph_components_whole(s, d):
-    return graph.components(edges(s, d, whole=True))
+    return graph.components(text_edges(s, d))
 
 
 # learned scores and incremental runs

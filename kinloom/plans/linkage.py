@@ -9,7 +9,8 @@ from kinloom.functions import similarity, text
 from kinloom.operators import blocking, compete, decide, relational
 from kinloom.plans.decisions import FH, MACRO, WON, fh, won
 from kinloom.plans.fixtures import FX, part, read
-from kinloom.plans.textual import NAMES, SIDES, TFIDF, names, sides, sql_basic, sql_words, tfidf_weights, whole_pair_texts, whole_postings, whole_sides
+from kinloom.plans.records import RX, record
+from kinloom.plans.textual import SHARE_CAP, SIDES, TFIDF, named_postings, pair_texts, sides, sql_basic, sql_words, tfidf_weights, whole_pair_texts, whole_postings, whole_sides
 
 REGISTRY: dict = {}
 
@@ -42,13 +43,13 @@ def sample_weights(s, d):
     return n.join(F.broadcast(mean)).select("qid", "tid", F.round(F.col("w") / F.col("m"), 9).alias("weight"))  # mean is one row
 
 
-@query(f"""WITH {NAMES[2:]}, w AS (SELECT id, co, {sql_words(sql_basic('nm'))} AS a, {sql_words(sql_basic('ad'))} AS b FROM names),
+@query(f"""{RX}, w AS (SELECT co, {sql_words(sql_basic('a'))} AS a, {sql_words(sql_basic('b'))} AS b FROM rec_pairs WHERE y = 1),
 t AS (SELECT co, unnest(a) AS x, unnest(b) AS y FROM (SELECT co, a, b FROM w WHERE len(a) = len(b))),
 g AS (SELECT co, x, y, count(*) AS n FROM t GROUP BY co, x, y), c AS (SELECT *, sum(n) OVER (PARTITION BY co, x) AS total FROM g)
 SELECT co, x, y, n FROM c WHERE n >= 2 AND 2 * n >= total""")
 def learned_dictionary(s, d):
-    """Tokens at the same places of two texts: the most common counterpart, seen twice and in half the cases."""
-    w = names(s, d).select("co", text.words(text.basic(F.col("nm"))).alias("a"), text.words(text.basic(F.col("ad"))).alias("b"))
+    """Tokens at the same places of an owner's and its target's name: the most common counterpart, seen twice and in half the cases."""
+    w = record(s, d, "rec_pairs").where("y = 1").select("co", *[text.words(text.basic(F.col(c))).alias(c) for c in ("a", "b")])
     t = w.where(F.size("a") == F.size("b")).select("co", F.explode(F.arrays_zip("a", "b")).alias("p")).select("co", F.col("p.a").alias("x"), F.col("p.b").alias("y"))
     c = t.groupBy("co", "x", "y").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("co", "x"))
@@ -56,45 +57,41 @@ def learned_dictionary(s, d):
 
 
 GRAMS = "list_transform(range(1, greatest(length({x}) - 2, 1)), lambda i: substr({x}, i, 4))"
-CHAR = f"""{FX}, q AS (SELECT qid, unnest({GRAMS.format(x='substr(text, 1, 60)')}) AS token FROM refs), t AS (SELECT tid, unnest({GRAMS.format(x='substr(text, 1, 60)')}) AS token FROM targets),
-qf AS (SELECT qid, token, count(*) AS tf FROM q GROUP BY ALL), tf AS (SELECT tid, token, count(*) AS tf FROM t GROUP BY ALL),
-idf AS (SELECT token, ln(((SELECT count(DISTINCT qid) FROM qf) + 1) / (count(*) + 1)) + 1 AS idf FROM qf GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30),
-qw AS (SELECT qid, token, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS w FROM (SELECT qid, token, (1 + ln(tf)) * idf AS w FROM qf JOIN idf USING (token))),
+CHAR = f"""{RX}, q AS (SELECT qid, unnest({GRAMS.format(x='name')}) AS token FROM rec_refs WHERE length(name) >= 4), t AS (SELECT tid, unnest({GRAMS.format(x='name')}) AS token FROM rec_targets WHERE length(name) >= 4),
+qf AS (SELECT qid, token, count(*) AS tf FROM q GROUP BY ALL), tf AS (SELECT tid, token, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT qid) AS n FROM qf),
+idf AS (SELECT token, ln((n + 1) / (df + 1)) + 1 AS idf, df <= {SHARE_CAP.format(least=2, n='n')} AS makes FROM (SELECT token, count(*) AS df FROM qf GROUP BY 1 HAVING count(*) >= 2), n),
+qw AS (SELECT qid, token, makes, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS w FROM (SELECT qid, token, makes, (1 + ln(tf)) * idf AS w FROM qf JOIN idf USING (token))),
 tw AS (SELECT tid, token, w / sqrt(sum(w * w) OVER (PARTITION BY tid)) AS w FROM (SELECT tid, token, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (token))),
-c AS (SELECT tid, qid, round(sum(qw.w * tw.w), 6) AS score FROM tw JOIN qw USING (token) GROUP BY ALL HAVING round(sum(qw.w * tw.w), 6) >= 0.01)"""
+near AS (SELECT DISTINCT tid, qid FROM tw JOIN qw USING (token) WHERE makes),
+c AS (SELECT tid, qid, round(sum(qw.w * tw.w), 6) AS score FROM near JOIN tw USING (tid) JOIN qw USING (qid, token) GROUP BY ALL)"""
+
+
+def gram_neighbours(refs, targets, body):
+    """The three best of each target by runs of four characters; those of two references or more count."""
+    n = F.length(body)
+    places = F.when(n >= 4, F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    rows = [x.select(k, body, F.explode(places).alias("i")).select(k, F.expr(f"substring({body}, i, 4)").alias("token")) for x, k in ((refs, "qid"), (targets, "tid"))]
+    q, t = (x.groupBy(k, "token").agg(F.count("*").alias("tf")) for x, k in zip(rows, ("qid", "tid"), strict=True))
+    return compete.top_k(blocking.cosine_all_tokens(*tfidf_weights(q, t, 2)), "tid", 3, F.desc("score"), F.asc("qid"))
 
 
 @query(f"{CHAR} SELECT tid, qid, score FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY score DESC, qid) AS r FROM c) WHERE r <= 3")
 def block_char_ngram_cosine(s, d):
-    """Runs of four characters, weighted by 1 + ln tf and smoothed idf of the references."""
-    n = F.length(F.substring("text", 1, 60))
-    grams = F.transform(F.when(n >= 4, F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda i: F.substring(F.substring("text", 1, 60), i, F.lit(4)))
-    q = blocking.postings(part(s, d, "refs"), "qid", grams)
-    t = blocking.postings(part(s, d, "targets"), "tid", grams)
-    idf = blocking.smoothed_idf(q, "qid", 2, 30).select("token", "idf")
-    return blocking.cosine_top_k(blocking.weighted(t, "tid", idf), blocking.weighted(q, "qid", idf), 3)
+    """Names' runs of four characters, weighted by 1 + ln tf and smoothed idf of the references."""
+    return gram_neighbours(record(s, d, "rec_refs"), record(s, d, "rec_targets"), "name")
 
 
-@query(f"{TFIDF} SELECT p.tid, p.qid, coalesce(c.score, 0.0) AS score FROM pairs p LEFT JOIN c ON c.tid = p.tid AND c.qid = p.qid")
+@query(f"{TFIDF.rsplit('near AS', 1)[0]} c AS (SELECT qid, tid, round(sum(qw.w * tw.w), 6) AS score FROM rec_pairs JOIN tw USING (tid) JOIN qw USING (qid, token) GROUP BY ALL) SELECT p.tid, p.qid, coalesce(c.score, 0.0) AS score FROM rec_pairs p LEFT JOIN c ON c.tid = p.tid AND c.qid = p.qid")
 def block_rescore(s, d):
-    """The cosine of every given pair, candidates of other lanes too."""
-    q, t = (blocking.postings(x, k, F.array("token")) for x, k in zip(sides(s, d), ("qid", "tid"), strict=True))
-    idf = blocking.smoothed_idf(q, "qid", 1, 40).select("token", "idf")
-    a, b = blocking.weighted(t, "tid", idf).withColumnRenamed("w", "a"), blocking.weighted(q, "qid", idf).withColumnRenamed("w", "b")
-    pairs = part(s, d, "pairs").select("tid", "qid")
-    sums = pairs.join(a, "tid").join(b, ["qid", "token"]).groupBy("tid", "qid").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("score"))
-    kept = sums.where("score >= 0.01")
-    return pairs.join(kept, ["tid", "qid"], "left").select("tid", "qid", F.coalesce("score", F.lit(0.0)).alias("score"))
+    """The cosine by all words of every given pair, candidates of other lanes too."""
+    t, q, _ = tfidf_weights(*named_postings(s, d))
+    return blocking.cosine_of_pairs(record(s, d, "rec_pairs").select("tid", "qid"), t, q)
 
 
 @query()
 def block_char_ngram_whole(s, d):
     """block_char_ngram_cosine over whole texts: grams of up to 3 % of the references make candidates, all of two or more count."""
-    n = F.length("text")
-    places = F.when(n >= 4, F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    q, t = (part(s, d, x).select(k, "text", F.explode(places).alias("i")).select(k, F.expr("substring(text, i, 4)").alias("token")) for x, k in (("refs", "qid"), ("targets", "tid")))
-    q, t = (x.groupBy(k, "token").agg(F.count("*").alias("tf")) for x, k in ((q, "qid"), (t, "tid")))
-    return compete.top_k(blocking.cosine_all_tokens(*tfidf_weights(q, t, 2)), "tid", 3, F.desc("score"), F.asc("qid"))
+    return gram_neighbours(part(s, d, "refs"), part(s, d, "targets"), "text")
 
 
 @query()
@@ -114,26 +111,27 @@ def block_view_rescue(s, d):
 
 
 @query(f"""{SIDES}, df AS (SELECT token, count(*) AS df FROM (SELECT token FROM qt UNION ALL SELECT token FROM tt) GROUP BY 1),
-idf AS (SELECT token, ln(((SELECT count(*) FROM refs) + (SELECT count(*) FROM targets) + 1) / (df + 1)) + 1 AS idf FROM df),
+idf AS (SELECT token, ln(((SELECT count(*) FROM rec_refs) + (SELECT count(*) FROM rec_targets) + 1) / (df + 1)) + 1 AS idf FROM df),
 q AS (SELECT qid, sum(idf) AS s FROM qt JOIN idf USING (token) GROUP BY 1), t AS (SELECT tid, sum(idf) AS s FROM tt JOIN idf USING (token) GROUP BY 1),
-m AS (SELECT p.qid, p.tid, sum(idf) AS m, max(idf) AS rarest FROM pairs p JOIN qt ON qt.qid = p.qid JOIN tt ON tt.tid = p.tid AND tt.token = qt.token JOIN idf ON idf.token = qt.token GROUP BY ALL)
-SELECT p.qid, p.tid, round(coalesce(m, 0) / q.s, 6) AS ref_cover, round(coalesce(m, 0) / t.s, 6) AS target_cover, round(coalesce(rarest, 0), 6) AS rarest_shared FROM pairs p JOIN q USING (qid) JOIN t USING (tid) LEFT JOIN m ON m.qid = p.qid AND m.tid = p.tid""")
+m AS (SELECT p.qid, p.tid, sum(idf) AS m, max(idf) AS rarest FROM rec_pairs p JOIN qt ON qt.qid = p.qid JOIN tt ON tt.tid = p.tid AND tt.token = qt.token JOIN idf ON idf.token = qt.token GROUP BY ALL)
+SELECT p.qid, p.tid, round(coalesce(m, 0) / q.s, 6) AS ref_cover, round(coalesce(m, 0) / t.s, 6) AS target_cover, round(coalesce(rarest, 0), 6) AS rarest_shared FROM rec_pairs p JOIN q USING (qid) JOIN t USING (tid) LEFT JOIN m ON m.qid = p.qid AND m.tid = p.tid""")
 def sim_idf_overlap(s, d):
-    """Shares of rarity-weighted words that two texts have in common, and their rarest common word."""
-    return idf_overlap(s, d, *sides(s, d))
+    """Shares of rarity-weighted words that two names have in common, and their rarest common word."""
+    n = record(s, d, "rec_refs").count() + record(s, d, "rec_targets").count()
+    return idf_overlap(record(s, d, "rec_pairs"), n, *sides(s, d))
 
 
 @query()
 def sim_idf_overlap_whole(s, d):
     """sim_idf_overlap over all words of both texts."""
-    return idf_overlap(s, d, *whole_sides(s, d))
+    n = part(s, d, "refs").count() + part(s, d, "targets").count()
+    return idf_overlap(part(s, d, "pairs"), n, *whole_sides(s, d))
 
 
-def idf_overlap(s, d, q, t):
-    n = part(s, d, "refs").count() + part(s, d, "targets").count()
+def idf_overlap(pairs, n, q, t):
     idf = q.select("token").unionAll(t.select("token")).groupBy("token").agg((F.ln(F.lit(float(n + 1)) / (F.count("*") + 1)) + 1).alias("idf"))
     q, t = q.join(idf, "token"), t.join(idf.withColumnRenamed("idf", "idf2"), "token")
-    pairs = part(s, d, "pairs").select("qid", "tid")
+    pairs = pairs.select("qid", "tid")
     m = pairs.join(q, "qid").join(t, ["tid", "token"]).groupBy("qid", "tid").agg(F.sum("idf").alias("m"), F.max("idf").alias("rarest"))
     out = pairs.join(q.groupBy("qid").agg(F.sum("idf").alias("qs")), "qid").join(t.groupBy("tid").agg(F.sum("idf2").alias("ts")), "tid").join(m, ["qid", "tid"], "left").na.fill(0.0)
     return out.select("qid", "tid", F.round(F.col("m") / F.col("qs"), 6).alias("ref_cover"), F.round(F.col("m") / F.col("ts"), 6).alias("target_cover"), F.round("rarest", 6).alias("rarest_shared"))
@@ -192,16 +190,9 @@ def clean_names(s, d):
     return read(s, d, "customer").select(k.alias("id"), F.trim(core).alias("core"), F.trim(F.get(sides_, F.lit(0))).alias("alias"))
 
 
-@query("""SELECT c_custkey, coalesce(n_name, '') AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 2 = 0""")
+@query("""SELECT c_custkey, coalesce(n_name, '') AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def region_lookup(s, d):
     """A component that a table knows, else empty."""
-    known = read(s, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return read(s, d, "customer").join(known, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("")).alias("region"))
-
-
-@query("""SELECT c_custkey, coalesce(n_name, '') AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
-def region_lookup_all(s, d):
-    """region_lookup with all that the table knows."""
     known = read(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return read(s, d, "customer").join(known, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("")).alias("region"))
 
@@ -248,14 +239,21 @@ def stratified_sample(s, d):
     return compete.top_k(part(s, d, "pairs"), ["co", "y"], 10, order, F.asc("tid"), F.asc("qid")).select("qid", "tid", "co", "y")
 
 
-@query(f"""{WON}, seed AS (SELECT tid AS alias, qid, p FROM won WHERE p >= 0.7), k AS (SELECT t.tid, t.co, substr(t.text, 1, 10) AS k FROM targets t)
+@query(f"""{RX}, won AS (SELECT tid, qid, p FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY p DESC, qid) AS r FROM rec_pairs) WHERE r = 1),
+seed AS (SELECT tid AS alias, qid, p FROM won WHERE p >= 0.7), k AS (SELECT tid, co, name AS k FROM rec_targets)
 SELECT a.tid, s.qid, max(s.p) AS seed_p, count(*) AS hits FROM k a JOIN k b ON a.co = b.co AND a.k = b.k AND a.tid <> b.tid JOIN seed s ON s.alias = b.tid GROUP BY ALL""")
 def bridge_candidates(s, d):
-    """References reached through a target that surely is theirs and looks like this one."""
-    seed = won(s, d).where("p >= 0.7").select(F.col("tid").alias("alias"), "qid", "p")
-    k = part(s, d, "targets").select("tid", "co", F.substring("text", 1, 10).alias("k"))
-    near = k.join(k.withColumnRenamed("tid", "alias"), ["co", "k"]).where("tid <> alias")
-    return near.join(seed, "alias").groupBy("tid", "qid").agg(F.max("p").alias("seed_p"), F.count("*").alias("hits"))
+    """References reached through a target that surely is theirs and has this one's name; seeds are summed up by name first."""
+    seed = compete.top_k(record(s, d, "rec_pairs"), "tid", 1, F.desc("p"), F.asc("qid")).where("p >= 0.7").select("tid", "qid", "p")
+    k = record(s, d, "rec_targets").select("tid", "co", "name")
+    known = k.join(seed, "tid")
+    r = compete.ranked(known, ["co", "name", "qid"], F.desc("p"), F.desc("tid"))
+    first, second = (F.when(F.col("rank") == i, F.struct("p", F.col("tid").alias("alias"))) for i in (1, 2))
+    sums = r.groupBy("co", "name", "qid").agg(F.count("*").alias("n"), F.max(first).alias("first"), F.max(second).alias("second"))
+    near = k.join(sums, ["co", "name"]).join(seed.select("tid", "qid", F.lit(1).alias("own")), ["tid", "qid"], "left")
+    hits = F.col("n") - F.coalesce("own", F.lit(0))
+    other = F.when(F.col("first.alias") == F.col("tid"), F.col("second.p")).otherwise(F.col("first.p"))
+    return near.where(hits > 0).select("tid", "qid", other.alias("seed_p"), hits.alias("hits"))
 
 
 @query(f"""{WON}, x AS (SELECT w.*, r.deg AS d2, sum(w.y) OVER (PARTITION BY w.qid) AS tp, count(*) OVER (PARTITION BY w.qid) AS n FROM won w JOIN refs r USING (qid) WHERE p >= 0.5),
@@ -270,8 +268,18 @@ def policy_add_utility(s, d):
 
 @query()
 def feat_text_contract(s, d):
-    """Lengths, exact flags, word overlap and ratios of each pair's whole texts."""
-    x = whole_pair_texts(s, d).select("qid", "tid", F.lower("a").alias("a"), F.lower("b").alias("b"))
+    """Lengths, exact flags, word overlap and ratios of each pair's names."""
+    return contract(pair_texts(s, d))
+
+
+@query()
+def feat_text_contract_whole(s, d):
+    """feat_text_contract of whole texts."""
+    return contract(whole_pair_texts(s, d))
+
+
+def contract(x):
+    x = x.select("qid", "tid", F.lower("a").alias("a"), F.lower("b").alias("b"))
     o = similarity.overlap(text.words(F.col("a")), text.words(F.col("b")))
     return x.select(
         "qid", "tid", (F.col("a") == F.col("b")).cast("int").alias("equal"), (F.length("a") - F.length("b")).alias("length_gap"),

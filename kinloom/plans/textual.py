@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import similarity, text
 from kinloom.operators import blocking, compete
 from kinloom.plans.fixtures import FX, part, read
+from kinloom.plans.records import RX, record
 from kinloom.sources.files import numbered
 
 REGISTRY: dict = {}
@@ -28,13 +29,13 @@ def sql_words(x: str) -> str:
     return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
 
 
-#: Short names of the fixture's records: the first line's first 60 characters, and the next 60.
-NAMES = f""", names AS (SELECT doc_id AS id, lang AS co, substr(text, 1, 60) AS nm, substr(text, 61, 60) AS ad FROM documents)"""
+#: Names and addresses of all records, references and targets.
+NAMES = f"""{RX}, names AS (SELECT co, name AS nm, address AS ad FROM rec_refs UNION ALL SELECT co, name, address FROM rec_targets)"""
 
 
 def names(s, d):
-    t = F.col("text")
-    return read(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("co"), F.substring(t, 1, 60).alias("nm"), F.substring(t, 61, 60).alias("ad"))
+    both = record(s, d, "rec_refs").unionByName(record(s, d, "rec_targets"), allowMissingColumns=True)
+    return both.select("co", F.col("name").alias("nm"), F.col("address").alias("ad"))
 
 
 @query(f"SELECT p_partkey, {sql_basic('p_name')} AS name, {sql_basic('p_type')} AS type FROM part")
@@ -65,16 +66,15 @@ def skeleton(s, d):
     return tokens.select("token", text.skeleton(F.col("token")).alias("skeleton"))
 
 
-@query(f"""WITH {NAMES[2:]}, t AS (SELECT DISTINCT unnest({sql_words(sql_basic('nm'))}) AS token FROM names WHERE co IN ('de', 'fr'))
+@query(f"""{NAMES}, t AS (SELECT DISTINCT unnest({sql_words(sql_basic('nm'))}) AS token FROM names)
 SELECT token, CASE WHEN token IN ({', '.join(f"'{x}'" for x in text.LEGAL)}) THEN 1 WHEN token IN ({', '.join(f"'{x}'" for x in text.NAME_STOP)}) THEN 2 ELSE 0 END AS kind FROM t""")
 def name_tokens_classified(s, d):
-    rows = names(s, d).where(F.col("co").isin("de", "fr"))
-    return rows.select(F.explode(text.words(text.basic(F.col("nm")))).alias("token")).distinct().select("token", text.kind(F.col("token")).alias("kind"))
+    return names(s, d).select(F.explode(text.words(text.basic(F.col("nm")))).alias("token")).distinct().select("token", text.kind(F.col("token")).alias("kind"))
 
 
 @query()
 def name_tokens_classified_all(s, d):
-    """name_tokens_classified over the whole texts of all documents, whatever their language."""
+    """name_tokens_classified over the whole texts of all documents."""
     w = text.words(text.basic(F.col("text")))
     return read(s, d, "documents").select(F.explode(w).alias("token")).distinct().select("token", text.kind(F.col("token")).alias("kind"))
 
@@ -133,15 +133,13 @@ def sorted_token_key(s, d):
     return read(s, d, "part").select("p_partkey", text.sorted_tokens(n).alias("key"), text.initials(n).alias("initials"))
 
 
-# similarity: the SQL's texts are the first 40 characters; queries without SQL read whole texts
+# similarity: names of the records' pairs, and whole texts of the documents' pairs
 
-PAIRS = f"{FX}, x AS (SELECT p.qid, p.tid, substr(r.text, 1, 40) AS a, substr(t.text, 1, 40) AS b FROM pairs p JOIN refs r ON r.qid = p.qid JOIN targets t ON t.tid = p.tid)"
+PAIRS = f"{RX}, x AS (SELECT qid, tid, a, b FROM rec_pairs)"
 
 
 def pair_texts(s, d):
-    r = part(s, d, "refs").select("qid", F.substring("text", 1, 40).alias("a"))
-    t = part(s, d, "targets").select("tid", F.substring("text", 1, 40).alias("b"))
-    return part(s, d, "pairs").select("qid", "tid").join(r, "qid").join(t, "tid")
+    return record(s, d, "rec_pairs").select("qid", "tid", "a", "b")
 
 
 def whole_pair_texts(s, d):
@@ -161,13 +159,22 @@ def sim_levenshtein_jaro_winkler(s, d):
     return pairs.select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(similarity.jaro_winkler_of("a", "b"), 6).alias("jw"))
 
 
-@query()
-def sim_ratios(s, d):
-    x = whole_pair_texts(s, d)
+def ratios(x):
     named = {"ratio": similarity.ratio_of, "sort": similarity.token_sort_of, "set": similarity.token_set_of, "partial": similarity.partial_of}
     return x.select("qid", "tid", *[F.round(f("a", "b"), 6).alias(n) for n, f in named.items()], similarity.subsequence_of("a", "b").alias("inside"))
 
 
+@query()
+def sim_ratios(s, d):
+    return ratios(pair_texts(s, d))
+
+
+@query()
+def sim_ratios_whole(s, d):
+    """sim_ratios of whole texts; time grows with the product of both lengths."""
+    return ratios(whole_pair_texts(s, d))
+
+
 W = "list_distinct(list_filter(string_split(lower({x}), ' '), lambda w: w <> ''))"
 
 
@@ -211,14 +218,13 @@ def sim_numbers(s, d):
 
 # blocking
 
-SIDES = f"""{FX}, qt AS (SELECT DISTINCT qid, unnest({W.format(x='substr(text, 1, 200)')}) AS token FROM refs),
-tt AS (SELECT DISTINCT tid, unnest({W.format(x='substr(text, 1, 200)')}) AS token FROM targets)"""
+SIDES = f"""{RX}, qt AS (SELECT DISTINCT qid, unnest({W.format(x='name')}) AS token FROM rec_refs),
+tt AS (SELECT DISTINCT tid, unnest({W.format(x='name')}) AS token FROM rec_targets)"""
 
 
 def sides(s, d):
-    w = text.words(F.lower(F.substring("text", 1, 200)))
-    q = part(s, d, "refs").select("qid", F.explode(F.array_distinct(w)).alias("token"))
-    return q, part(s, d, "targets").select("tid", F.explode(F.array_distinct(w)).alias("token"))
+    w = F.explode(F.array_distinct(text.words(F.lower("name")))).alias("token")
+    return record(s, d, "rec_refs").select("qid", w), record(s, d, "rec_targets").select("tid", w)
 
 
 def whole_sides(s, d):
@@ -227,18 +233,22 @@ def whole_sides(s, d):
     return q, part(s, d, "targets").select("tid", F.explode(w).alias("token"))
 
 
-TFIDF = f"""{SIDES}, df AS (SELECT token, count(*) AS df FROM qt GROUP BY 1 HAVING count(*) BETWEEN 1 AND 40),
-idf AS (SELECT token, ln((SELECT count(DISTINCT qid) FROM qt) + 1.0) - ln(df + 1) + 1 AS idf FROM df),
-qw AS (SELECT qid, token, idf / sqrt(sum(idf * idf) OVER (PARTITION BY qid)) AS w FROM qt JOIN idf USING (token)),
+#: References that may share a token which makes candidates; n and least are put in.
+SHARE_CAP = "greatest({least}, least(2000, {n} * 3 // 100))"
+TFIDF = f"""{SIDES}, n AS (SELECT count(DISTINCT qid) AS n FROM qt), df AS (SELECT token, count(*) AS df FROM qt GROUP BY 1),
+idf AS (SELECT token, ln((n + 1) / (df + 1)) + 1 AS idf, df <= {SHARE_CAP.format(least=1, n='n')} AS makes FROM df, n),
+qw AS (SELECT qid, token, makes, idf / sqrt(sum(idf * idf) OVER (PARTITION BY qid)) AS w FROM qt JOIN idf USING (token)),
 tw AS (SELECT tid, token, idf / sqrt(sum(idf * idf) OVER (PARTITION BY tid)) AS w FROM tt JOIN idf USING (token)),
-c AS (SELECT tid, qid, round(sum(qw.w * tw.w), 6) AS score FROM tw JOIN qw USING (token) GROUP BY ALL HAVING round(sum(qw.w * tw.w), 6) >= 0.01)"""
+near AS (SELECT DISTINCT tid, qid FROM tw JOIN qw USING (token) WHERE makes),
+c AS (SELECT tid, qid, round(sum(qw.w * tw.w), 6) AS score FROM near JOIN tw USING (tid) JOIN qw USING (qid, token) GROUP BY ALL)"""
 
 
 def tfidf(s, d, k):
-    q, t = sides(s, d)
-    q, t = blocking.postings(q, "qid", F.array("token")), blocking.postings(t, "tid", F.array("token"))
-    idf = blocking.smoothed_idf(q, "qid", 1, 40).select("token", "idf")
-    return blocking.cosine_top_k(blocking.weighted(t, "tid", idf), blocking.weighted(q, "qid", idf), k)
+    return best_by_tokens(named_postings(s, d), k)
+
+
+def best_by_tokens(posted, k):
+    return compete.top_k(blocking.cosine_all_tokens(*tfidf_weights(*posted)), "tid", k, F.desc("score"), F.asc("qid"))
 
 
 @query(f"{TFIDF} SELECT tid, qid, score FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY score DESC, qid) AS r FROM c) WHERE r <= 5")
@@ -247,11 +257,11 @@ def block_token_tfidf_topk(s, d):
 
 
 @query(f"""{TFIDF}, r AS (SELECT tid, qid, row_number() OVER (PARTITION BY tid ORDER BY score DESC, qid) AS r FROM c),
-o AS (SELECT t.tid, r.r FROM targets t LEFT JOIN r ON r.tid = t.tid AND r.qid = t.own WHERE own >= 0)
+o AS (SELECT t.tid, r.r FROM rec_targets t LEFT JOIN r ON r.tid = t.tid AND r.qid = t.own WHERE own >= 0)
 SELECT k, count(*) AS owned, count(*) FILTER (WHERE r <= k) AS found, count(*) FILTER (WHERE r <= k) / count(*) AS recall FROM o, (VALUES (1), (3), (5)) v(k) GROUP BY k""")
 def block_recall_at_k(s, d):
     rows = compete.ranked(tfidf(s, d, 5), "tid", F.desc("score"), F.asc("qid"))
-    return blocking.recall_at(rows, part(s, d, "targets"), [1, 3, 5])
+    return blocking.recall_at(rows, record(s, d, "rec_targets"), [1, 3, 5])
 
 
 def tfidf_weights(q, t, least=1):
@@ -262,13 +272,20 @@ def tfidf_weights(q, t, least=1):
     return blocking.weighted(t, "tid", tokens), blocking.weighted(q, "qid", tokens), idf.where(F.col("df") <= most)
 
 
+def posted(both):
+    return [blocking.postings(x, k, F.array("token")) for x, k in zip(both, ("qid", "tid"), strict=True)]
+
+
+def named_postings(s, d):
+    return posted(sides(s, d))
+
+
 def whole_postings(s, d):
-    return [blocking.postings(x, k, F.array("token")) for x, k in zip(whole_sides(s, d), ("qid", "tid"), strict=True)]
+    return posted(whole_sides(s, d))
 
 
 def whole_tfidf(s, d, k):
-    scored = blocking.cosine_all_tokens(*tfidf_weights(*whole_postings(s, d)))
-    return compete.top_k(scored, "tid", k, F.desc("score"), F.asc("qid"))
+    return best_by_tokens(whole_postings(s, d), k)
 
 
 @query()
@@ -291,17 +308,18 @@ def block_exact_whole(s, d):
     return blocking.exact_keys(*rows, ["co", "k", "text"], 8)
 
 
-@query(f"{FX} SELECT t.tid, r.qid FROM targets t JOIN refs r ON r.co = t.co AND substr(r.text, 1, 30) = substr(t.text, 1, 30)")
+@query(f"{RX} SELECT t.tid, r.qid FROM rec_targets t JOIN rec_refs r ON r.co = t.co AND r.name = t.name")
 def block_exact_keys(s, d):
-    k = F.substring("text", 1, 30).alias("k")
-    return blocking.exact_keys(part(s, d, "targets").select("tid", "co", k), part(s, d, "refs").select("qid", "co", k), ["co", "k"])
+    """Equal names in a country."""
+    return blocking.exact_keys(record(s, d, "rec_targets").select("tid", "co", "name"), record(s, d, "rec_refs").select("qid", "co", "name"), ["co", "name"])
 
 
-@query(f"""{FX}, k AS (SELECT qid, co, substr(text, 1, 12) AS k, count(*) OVER (PARTITION BY co, substr(text, 1, 12)) AS n FROM refs)
-SELECT t.tid, k.qid FROM targets t JOIN k ON k.co = t.co AND k.k = substr(t.text, 1, 12) WHERE n <= 4""")
+@query(f"""{RX}, k AS (SELECT qid, co, address, count(*) OVER (PARTITION BY co, address) AS n FROM rec_refs WHERE address <> '')
+SELECT t.tid, k.qid FROM rec_targets t JOIN k ON k.co = t.co AND k.address = t.address WHERE n <= 8""")
 def block_exact_recall(s, d):
-    k = F.substring("text", 1, 12).alias("k")
-    return blocking.exact_keys(part(s, d, "targets").select("tid", "co", k), part(s, d, "refs").select("qid", "co", k), ["co", "k"], 4)
+    """Equal addresses in a country, of up to eight references; a blank address is no key."""
+    t, r = (record(s, d, n).where("address <> ''").select(i, "co", "address") for n, i in (("rec_targets", "tid"), ("rec_refs", "qid")))
+    return blocking.exact_keys(t, r, ["co", "address"], 8)
 
 
 @query(f"""{SIDES}, a AS (SELECT *, count(*) OVER (PARTITION BY token) AS dt FROM tt), b AS (SELECT *, count(*) OVER (PARTITION BY token) AS dr FROM qt)
@@ -356,11 +374,10 @@ def select_uncertain(s, d):
     return best.orderBy("u", "tid").limit(25).select("tid")
 
 
-@query(f"""{FX}, k AS (SELECT qid, co, substr(text, 1, 20) AS k FROM refs), u AS (SELECT co, k, min(qid) AS qid FROM k GROUP BY ALL HAVING count(*) = 1)
-SELECT t.tid, u.qid, CASE WHEN substr(t.text, 1, 40) = substr(r.text, 1, 40) THEN 1 ELSE 2 END AS rule FROM targets t JOIN u ON u.co = t.co AND u.k = substr(t.text, 1, 20) JOIN refs r ON r.qid = u.qid""")
+@query(f"""{RX}, u AS (SELECT co, name, min(qid) AS qid, min(address) AS address FROM rec_refs GROUP BY co, name HAVING count(*) = 1)
+SELECT t.tid, u.qid, CASE WHEN t.address = u.address THEN 1 ELSE 2 END AS rule FROM rec_targets t JOIN u ON u.co = t.co AND u.name = t.name""")
 def block_identity_rules(s, d):
-    k, full = F.substring("text", 1, 20).alias("k"), F.substring("text", 1, 40)
-    refs = part(s, d, "refs").select("qid", "co", k, full.alias("a"))
-    unique = refs.join(refs.groupBy("co", "k").agg(F.count("*").alias("n")).where("n = 1"), ["co", "k"])
-    hit = part(s, d, "targets").select("tid", "co", k, full.alias("b")).join(unique, ["co", "k"])
-    return hit.select("tid", "qid", F.when(F.col("a") == F.col("b"), 1).otherwise(2).alias("rule"))
+    """Targets with a name that one reference of their country alone has: with its address too, or without."""
+    unique = record(s, d, "rec_refs").groupBy("co", "name").agg(F.min("qid").alias("qid"), F.min("address").alias("known"), F.count("*").alias("n")).where("n = 1")
+    hit = record(s, d, "rec_targets").join(unique, ["co", "name"])
+    return hit.select("tid", "qid", F.when(F.col("address") == F.col("known"), 1).otherwise(2).alias("rule"))

@@ -71,7 +71,7 @@ def test_partial_and_jaro_winkler_are_exact(a, b):
 
 def test_pair_similarities_see_whole_texts(spark, sf):
     texts = dict(late_texts())
-    ratios, features, sets = (by_pair(spark, sf, n) for n in ("sim_ratios", "feat_text_contract", "sim_token_sets_whole"))
+    ratios, features, sets = (by_pair(spark, sf, n) for n in ("sim_ratios_whole", "feat_text_contract_whole", "sim_token_sets_whole"))
     assert ratios and ratios.keys() == features.keys() == sets.keys()
     for (q, t), r in ratios.items():
         a, b = texts[q], texts[t]
@@ -164,6 +164,6 @@ def test_all_languages_and_all_nations(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, "A"), (1, "B")], "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
     spark.createDataFrame([(7, 0), (8, 1), (9, 5), (10, None)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
-    got = {n: dict(map(tuple, catalogue.queries()[n](spark, str(tmp_path)).collect())) for n in ("name_tokens_classified_all", "region_lookup_all")}
+    got = {n: dict(map(tuple, catalogue.queries()[n](spark, str(tmp_path)).collect())) for n in ("name_tokens_classified_all", "region_lookup")}
     assert got["name_tokens_classified_all"] == {"acme": 0, "limited": 1, "la": 2, "casa": 0, "gmbh": 1, "und": 2}
-    assert got["region_lookup_all"] == {7: "A", 8: "B", 9: "", 10: ""}
+    assert got["region_lookup"] == {7: "A", 8: "B", 9: "", 10: ""}
