@@ -141,3 +141,38 @@ def recall_at(pairs: DataFrame, targets: DataFrame, ks: list[int]) -> DataFrame:
     sums = hit.agg(F.count("*").alias("owned"), *[F.count_if(F.col("rank") <= k).alias(f"k{k}") for k in ks])
     rows = sums.select("owned", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("found")) for k in ks])).alias("x"))
     return rows.select("x.k", "owned", "x.found", F.try_divide(F.col("x.found"), F.col("owned")).alias("recall"))
+
+
+def field_vectors(tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """(side, id, co, field, token, makes, w): rarity weights of distinct tokens, of length 1 in each field.
+
+    tokens: (side, id, co, field, token), side 1 for references; sizes: (co, n, n1), records and references in a country.
+    idf = ln((n + 1) / (df + 1)) + 1 with the frequency on both sides. A token makes candidates if 3 % of the country's
+    references have it at most (2,000 at most, least at least).
+    """
+    df = tokens.groupBy("co", "field", "token").agg(F.count("*").alias("df"), F.count_if(F.col("side") == 1).alias("df1"))
+    most = F.greatest(F.lit(least), F.least(F.lit(2000), F.expr("n1 * 3 div 100")))
+    idf = df.join(sizes, "co").select("co", "field", "token", (F.col("df1") <= most).alias("makes"), (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    v = tokens.join(idf, ["co", "field", "token"])
+    norms = v.groupBy("side", "id", "field").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    return v.join(norms, ["side", "id", "field"]).select("side", "id", "co", "field", "token", "makes", (F.col("idf") / F.col("norm")).alias("w"))
+
+
+def field_neighbours(vectors: DataFrame, k: int) -> DataFrame:
+    """(tid, qid, name_cos, address_cos, score): the k best references of each target by the sum of both fields' cosines.
+
+    Records meet within a country. Common tokens make no candidates but count in scores, which are exact for every candidate.
+    """
+    t = vectors.where("side = 2").select(F.col("id").alias("tid"), "co", "field", "token", "makes", F.col("w").alias("a"))
+    q = vectors.where("side = 1").select(F.col("id").alias("qid"), "co", "field", "token", F.col("w").alias("b"))
+    on = ["co", "field", "token"]
+    near = t.where("makes").join(q, on).select("tid", "qid").distinct()
+    product = F.col("a") * F.col("b")
+
+    def cos(field: str) -> Column:
+        return F.round(F.coalesce(F.sum(F.when(F.col("field") == field, product)), F.lit(0.0)), 6)
+
+    both = near.join(t, "tid").join(q.drop("co"), ["qid", "field", "token"])
+    sums = both.groupBy("tid", "qid").agg(cos("name").alias("name_cos"), cos("address").alias("address_cos"))
+    scored = sums.withColumn("score", F.round(F.col("name_cos") + F.col("address_cos"), 6))
+    return compete.top_k(scored, "tid", k, F.desc("score"), F.asc("qid"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinloom.functions import records, text
-from kinloom.operators import adapt, evidence, repair
+from kinloom.operators import adapt, blocking, evidence, repair
 from kinloom.plans.fixtures import read
 from kinloom.plans.records import RX, record
 from kinloom.plans.textual import SKELETON, sql_basic, sql_words
@@ -385,3 +385,42 @@ def domain_weights(s, d):
     scored = model.transform(rows.where("domain = 0")).withColumn("ratio", adapt.density_ratio(vector_to_array("probability")[1], 0.2, 5.0))
     factor = adapt.bounded_mean_one(scored, "ratio", 0.2, 5.0)
     return scored.select("qid", "tid", F.round(F.least(F.greatest(F.col("ratio") * factor, F.lit(0.2)), F.lit(5.0)), 9).alias("weight"))
+
+
+# blocking by skeletons
+
+SKELETON_SQL = f"""{RX}, rec AS (SELECT 1 AS side, qid AS id, co, name, address FROM rec_refs UNION ALL SELECT 2, tid, co, name, address FROM rec_targets),
+nw AS (SELECT side, id, co, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT side, id, co, {T('name')} AS w FROM rec)),
+aw AS (SELECT side, id, co, unnest(w) AS s, generate_subscripts(w, 1) AS i FROM (SELECT side, id, co, list_filter({T('address')}, lambda x: length(x) >= 2) AS w FROM rec)),
+u AS (SELECT side, id, co, 'name' AS field, {SKELETON_OR_FIRST} AS s, i FROM nw UNION ALL SELECT side, id, co, 'address', s, i FROM aw),
+g AS (SELECT side, id, co, field, s AS token FROM u UNION SELECT x.side, x.id, x.co, x.field, concat(x.s, ' ', y.s) FROM u x JOIN u y ON y.side = x.side AND y.id = x.id AND y.field = x.field AND y.i = x.i + 1
+UNION SELECT side, id, co, field, string_agg(s, '' ORDER BY i) FROM u WHERE field = 'name' GROUP BY side, id, co, field),
+n AS (SELECT co, count(*) AS n, count(*) FILTER (WHERE side = 1) AS n1 FROM rec GROUP BY co), df AS (SELECT co, field, token, count(*) AS df, count(*) FILTER (WHERE side = 1) AS df1 FROM g GROUP BY ALL),
+idf AS (SELECT co, field, token, df1 <= greatest(20, least(2000, n1 * 3 // 100)) AS makes, ln((n + 1) / (df + 1)) + 1 AS idf FROM df JOIN n USING (co)),
+v AS (SELECT side, id, co, field, token, makes, idf / sqrt(sum(idf * idf) OVER (PARTITION BY side, id, field)) AS w FROM g JOIN idf USING (co, field, token)),
+t AS (SELECT id AS tid, co, field, token, makes, w AS a FROM v WHERE side = 2), q AS (SELECT id AS qid, co, field, token, w AS b FROM v WHERE side = 1),
+near AS (SELECT DISTINCT tid, qid FROM t JOIN q USING (co, field, token) WHERE makes),
+c AS (SELECT tid, qid, round(coalesce(sum(a * b) FILTER (WHERE field = 'name'), 0), 6) AS name_cos, round(coalesce(sum(a * b) FILTER (WHERE field = 'address'), 0), 6) AS address_cos
+FROM near JOIN t USING (tid) JOIN q USING (qid, field, token) GROUP BY tid, qid)
+SELECT tid, qid, name_cos, address_cos, score FROM (SELECT *, round(name_cos + address_cos, 6) AS score, row_number() OVER (PARTITION BY tid ORDER BY round(name_cos + address_cos, 6) DESC, qid) AS r FROM c) WHERE r <= 5"""
+
+
+def runs(w):
+    """Distinct words of a list and pairs of neighbours."""
+    n = F.size(w) - 1
+    pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(n < 1, F.array_distinct(w)).otherwise(F.array_distinct(F.concat(w, pairs)))
+
+
+@query(SKELETON_SQL)
+def block_skeleton(s, d):
+    """The five best references of each target by skeletons of names (words, neighbours, all joined) and words of addresses."""
+    rows = [record(s, d, n).select(F.lit(side).alias("side"), F.col(i).alias("id"), "co", "name", "address") for n, side, i in (("rec_refs", 1, "qid"), ("rec_targets", 2, "tid"))]
+    rec = rows[0].unionByName(rows[1])
+    names, streets = F.transform(tokens("name"), text.skeleton), F.filter(tokens("address"), lambda w: F.length(w) >= 2)
+    worded = rec.select("side", "id", "co", names.alias("n"), streets.alias("a"))
+    compact = F.when(F.size("n") > 0, F.array(F.array_join("n", ""))).otherwise(F.array().cast("array<string>"))
+    fields = {"name": F.array_union(runs(F.col("n")), compact), "address": runs(F.col("a"))}
+    parts = [worded.select("side", "id", "co", F.lit(k).alias("field"), F.explode(w).alias("token")) for k, w in fields.items()]
+    sizes = rec.groupBy("co").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("n1"))
+    return blocking.field_neighbours(blocking.field_vectors(parts[0].unionByName(parts[1]), sizes, 20), 5)
