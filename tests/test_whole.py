@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from kinloom.functions import similarity
 from kinloom.operators import blocking
 from kinloom.plans import catalogue, fixtures
+from kinloom.plans.records import record
 
 #: The first 240 characters are alike, so that whatever tells the texts apart comes after them.
 HEAD = " ".join(f"common{i:02d}" for i in range(27))[:240]
@@ -83,6 +84,16 @@ def test_pair_similarities_see_whole_texts(spark, sf):
     assert all(r.ratio < 100 for r in ratios.values())
 
 
+def test_names_of_records_are_compared_whole(spark):
+    sf = "/root/testdata/sf0.001"
+    pairs = {(r.qid, r.tid): r for r in record(spark, sf, "rec_pairs").collect()}
+    ratios, features = (by_pair(spark, sf, n) for n in ("sim_ratios", "feat_text_contract"))
+    assert pairs and pairs.keys() == ratios.keys() == features.keys()
+    for k, p in pairs.items():
+        assert ratios[k].ratio == round(similarity.indel(p.a, p.b), 6) and ratios[k].partial == round(partial_brute(p.a, p.b), 6)
+        assert features[k].equal == int(p.a == p.b) and features[k].jw == round(jaro_winkler_brute(p.a.lower(), p.b.lower()), 6)
+
+
 def test_words_after_the_head_are_witnesses(spark, sf):
     texts = dict(late_texts())
     got = by_pair(spark, sf, "block_rare_witness_whole")
