@@ -32,13 +32,6 @@ def smoothed_idf(post: DataFrame, key: str, least: int = 1, most: int | None = N
     return (df if most is None else df.where(F.col("df") <= most)).withColumn("idf", F.ln(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1)
 
 
-def cosine_top_k(queries: DataFrame, refs: DataFrame, k: int, least: float = 0.01) -> DataFrame:
-    """(tid, qid, score): the k best references of each target by the product of weights (tid|qid, token, w)."""
-    both = queries.withColumnRenamed("w", "a").join(refs.withColumnRenamed("w", "b"), "token")
-    scores = both.groupBy("tid", "qid").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("score")).where(F.col("score") >= least)
-    return compete.top_k(scores, "tid", k, F.desc("score"), F.asc("qid"))
-
-
 def share_cap(n: int, least: int = 1) -> int:
     """References that may share a token which makes candidates: 3 % of all n, 2,000 at most."""
     return max(least, min(2000, n * 3 // 100))
