@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinloom.operators import compete, decide, graph, relational
 from kinloom.plans.fixtures import FX, part, read
 from kinloom.plans.records import RX, record
+from kinloom.sources.files import stored
 
 REGISTRY: dict = {}
 
@@ -368,7 +369,8 @@ def oof_crossfit(s, d):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
-    rows = labelled(s, d).withColumn("fold", F.pmod(F.xxhash64("qid"), F.lit(3)))
+    # The folds read the pairs six times, so they are written down once.
+    rows = stored(labelled(s, d).select("qid", "tid", "x", "label", F.pmod(F.xxhash64("qid"), F.lit(3)).alias("fold")))
     out = []
     for k in range(3):
         model = LogisticRegression(featuresCol="x", regParam=0.01).fit(rows.where(F.col("fold") != k))
