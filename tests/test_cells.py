@@ -81,3 +81,16 @@ def test_only_the_best_of_a_cell_move(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(compete, "top_k", lambda df, *a: seen.append(df.count()) or plain_top(df, *a))
     catalogue.queries()["block_skeleton"](spark, str(tmp_path)).count()
     assert len(seen) == 1 and seen[0] <= 800 * 5
+
+
+def test_only_the_best_of_whole_texts_move(spark, tmp_path, monkeypatch):
+    rows = [(i, f"{i:060d} " + " ".join(f"w{(i * j) % 60}" for j in range(1, 40)), "en", "x") for i in range(400)]
+    rows += [(400 + i, f"{t} late", co, source) for i, t, co, source in rows[:100]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    plain_top = compete.top_k
+    monkeypatch.setattr(compete, "top_k", lambda df, *a: seen.append(df.count()) or plain_top(df, *a))
+    monkeypatch.setattr(blocking, "share_cap", lambda n, least=1: n)
+    got = catalogue.queries()["block_token_tfidf_whole"](spark, str(tmp_path)).collect()
+    targets = len({r.tid for r in got})
+    assert len(seen) == 1 and 0 < seen[0] <= targets * 5 * 3 and len(got) == targets * 5
