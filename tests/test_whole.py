@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -178,3 +179,20 @@ def test_all_languages_and_all_nations(spark, tmp_path):
     got = {n: dict(map(tuple, catalogue.queries()[n](spark, str(tmp_path)).collect())) for n in ("name_tokens_classified_all", "region_lookup")}
     assert got["name_tokens_classified_all"] == {"acme": 0, "limited": 1, "la": 2, "casa": 0, "gmbh": 1, "und": 2}
     assert got["region_lookup"] == {7: "A", 8: "B", 9: "", 10: ""}
+
+
+def test_combing_is_exact_for_long_texts_and_many_letters():
+    def plain(a, b):
+        left, top = list(range(len(a))), list(range(len(a), len(a) + len(b)))
+        for i in range(len(a)):
+            for j in range(len(b)):
+                r = len(a) - 1 - i
+                if a[i] == b[j] or left[r] > top[j]:
+                    left[r], top[j] = top[j], left[r]
+        return [x - len(a) for x in top]
+
+    r = random.Random(1)
+    many = "".join(map(chr, range(500, 900)))
+    for a, b in (("abcab", "xbcax"), ("".join(r.choice(many) for _ in range(300)), "".join(r.choice(many) for _ in range(420))), ("ab" * 40, "ba" * 33_000)):
+        got = similarity.stretch_lengths(a, b)
+        assert got.dtype == np.int64 and got.tolist() == plain(a, b)
