@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom.operators import blocking, compete
-from kinloom.plans import catalogue
+from kinloom.plans import catalogue, fixtures
 
 
 def frames(spark, fields, seed=1):
@@ -94,3 +94,12 @@ def test_only_the_best_of_whole_texts_move(spark, tmp_path, monkeypatch):
     got = catalogue.queries()["block_token_tfidf_whole"](spark, str(tmp_path)).collect()
     targets = len({r.tid for r in got})
     assert len(seen) == 1 and 0 < seen[0] <= targets * 5 * 3 and len(got) == targets * 5
+
+
+def test_given_pairs_are_scored_without_a_row_for_each_token(spark, tmp_path):
+    rows = [(i, f"{i % 40:060d} " + " ".join(f"w{(i * j) % 30}" for j in range(1, 9)), "en", "x") for i in range(90)] + [(500, None, "en", "x"), (501, "", "en", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.queries()["block_rescore_whole"](spark, str(tmp_path))
+    pairs = fixtures.part(spark, str(tmp_path), "pairs").select("tid", "qid").collect()
+    assert sorted(map(tuple, df.select("tid", "qid").collect())) == sorted(map(tuple, pairs)) and pairs
+    assert "token" not in df._jdf.queryExecution().executedPlan().toString()
