@@ -6,7 +6,8 @@ is written as Parquet and read again as the next one's docs. All but the last re
 Only the columns in COLUMNS are carried; any further one of documents is left out by the first stage, so none can
 clash. A null or empty text is scored as empty, has no copies and no benchmark passage, and has no token ids; rows
 with equal or null ids are rows of their own; an empty table gives no rows. Where a stage finds rows by a key, the
-key is written down with them first, so that another scan or a lost executor can't change it.
+key is written down with them first, so that another scan or a lost executor can't change it. The rows then pass a
+hash table of one partition's keys, so that whole texts are not held to be sorted.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = common.keyed(docs, **COLUMNS)
     first = jaccard_join.linked_rows(rows, key="key").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row"))
-    return rows.join(first.select("row.key"), "key", "left_semi").select(*COLUMNS)
+    return rows.join(first.select("row.key").hint("shuffle_hash"), "key", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = common.keyed(docs, **COLUMNS)
     items = common.table(spark, sf_dir, "benchmark", item_id="long", text="string")
     hit = decontamination.find_items(rows, items, key="key").where(F.size("spans") > 0).select("key")
-    return rows.join(hit, "key", "left_anti").select(*COLUMNS)
+    return rows.join(hit.hint("shuffle_hash"), "key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
