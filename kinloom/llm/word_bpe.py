@@ -15,9 +15,13 @@ from __future__ import annotations
 
 import base64
 import gc
+import re
+import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import pairwise
+from functools import lru_cache
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -65,89 +69,175 @@ def ints(planes: bytes) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
+#: Longest chunk, in bytes, that is compared by numpy.
+SHORT = 64
+_MASKS = np.array([*((1 << 8 * k) - 1 for k in range(8)), (1 << 64) - 1], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def told_apart(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each chunk between single spaces among the distinct chunks, and these.
+
+    Chunks are found by a hash of eight bytes at a time, and each is then compared with the one that it was taken for;
+    if one differs, all are told apart by a dictionary instead.
+    """
+    starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1])
+    sizes = np.diff(starts, append=len(raw) + 1) - 1
+    eight = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))  # the eight bytes from each place on
+    short, long = np.flatnonzero(sizes <= SHORT), np.flatnonzero(sizes > SHORT).tolist()
+    chunk = lambda i: raw[starts[i] : starts[i] + sizes[i]]
+
+    def part(of: np.ndarray, offset: int) -> np.ndarray:
+        return eight[starts[of] + offset] & _MASKS[np.minimum(sizes[of] - offset, 8)]
+
+    hashed = sizes.astype(np.uint64)
+    for i in long:
+        hashed[i] = hash(chunk(i)) & (1 << 64) - 1
+    at = short
+    for offset in range(0, SHORT, 8):
+        x = (hashed[at] + part(at, offset)) * _ODD
+        hashed[at] = x ^ (x >> np.uint64(29))
+        at = at[sizes[at] > offset + 8]
+    _, number = np.unique(hashed, return_inverse=True)
+    one = np.empty(number.max() + 1, np.int64)
+    one[number] = np.arange(len(number))
+    taken = one[number]
+    same = (sizes == sizes[taken]).all() and all(chunk(i) == chunk(taken[i]) for i in long)
+    at = short[taken[short] != short]
+    for offset in range(0, SHORT, 8):
+        same = same and np.array_equal(part(at, offset), part(taken[at], offset))
+        at = at[sizes[at] > offset + 8]
+    if not same:
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        return np.array([numbers[c] for c in raw.split(b" ")]), list(numbers)
+    return number, [raw[a:b] for a, b in zip(starts[one].tolist(), (starts + sizes)[one].tolist(), strict=True)]
+
+
 class Splitter:
-    """Turns texts into codes of distinct pre-tokens, remembering how chunks between single spaces split."""
+    """Turns texts into codes of distinct pre-tokens; chunks between single spaces are split once for each block.
+
+    A chunk that begins and ends with visible characters splits alike whatever stands beside it, so a block's distinct
+    chunks are split together. A text's first chunk, which no space precedes, and texts with other white space beside a
+    space or at their end are split whole; so are all texts, if the pattern lets no pre-token begin with the space.
+    """
+
+    #: A space beside white space, or at the end.
+    odd = re.compile(r" (?:(?<=\s )|\s|\Z)").search
 
     def __init__(self, pattern: str) -> None:
         import regex
 
         self.find = regex.compile(pattern).findall
+        self.apart = True
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.memo: dict[str, bytes] = {}
+        self.codes: dict[str, int] = defaultdict(count().__next__)
 
-    def code(self, text: str) -> bytes:
-        """The codes of the pre-tokens of a text, as 32-bit integers."""
-        codes = self.codes
-        return array("I", [codes.setdefault(w, len(codes)) for w in self.find(text)]).tobytes()
+    def parts(self, texts: list[str]) -> tuple[list[str], list[int], np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """The words of what is split whole (one piece a text) and of the distinct chunks behind the pieces.
+
+        Returns the former, where each text's end among them, each chunk's number, the latter, where each chunk's begin
+        (and where they end), and how many chunks each text has behind its piece.
+        """
+        whole: list[str] = []
+        ends, tails, behind = [], [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            first, space, tail = text.partition(" ")
+            if space and self.apart and not text[-1].isspace() and not self.odd(text):
+                tails.append(tail)
+                behind[i] = tail.count(" ") + 1
+                whole += self.find(first)
+            else:
+                whole += self.find(text)
+            ends.append(len(whole))
+        if not tails:
+            return whole, ends, np.zeros(0, np.int64), [], np.zeros(1, np.int64), behind
+        number, chunks = told_apart(" ".join(tails).encode())
+        words = self.find(f" {b' '.join(chunks).decode()}")
+        starts = [i for i, w in enumerate(words) if w[0] == " "]
+        if len(starts) != len(chunks):
+            self.apart = False
+            return self.parts(texts)
+        return whole, ends, number, words, np.array([*starts, len(words)]), behind
+
+    def distinct(self, texts: list[str]) -> set[str]:
+        """The distinct pre-tokens of texts."""
+        whole, _, _, words, _, _ = self.parts(texts)
+        return {*whole, *words}
+
+    def split_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of pre-tokens of each text, and the codes of all of them."""
+        whole, ends, number, words, starts, behind = self.parts(texts)
+        codes = np.fromiter(map(self.codes.__getitem__, whole + words), np.int64, len(whole) + len(words))
+        first = np.cumsum(behind) - behind  # a text's piece comes before its first chunk
+        n = np.insert(np.diff(starts)[number], first, np.diff(ends, prepend=0))
+        begin = np.insert(starts[number] + len(whole), first, [0, *ends][:-1])
+        stop = np.cumsum(n)
+        lengths = np.diff(stop[np.cumsum(behind + 1) - 1], prepend=0)
+        return lengths, codes[np.repeat(begin - (stop - n), n) + np.arange(n.sum())]
 
     def split(self, text: str) -> bytes:
-        """A chunk that begins and ends with visible characters splits alike whatever stands beside it.
+        """The codes of the pre-tokens of a text, as 32-bit integers."""
+        return self.split_all([text])[1].astype("<u4").tobytes()
 
-        So the new chunks of a text are split together, where a pre-token that begins with a space begins a chunk.
-        """
-        chunks = text.split(" ")
-        first = chunks[0]
-        if first and first[-1].isspace():
-            return self.code(text)
-        parts = list(map(self.memo.get, chunks))
-        parts[0] = self.code(first)
-        if at := [i for i, p in enumerate(parts) if p is None]:
-            new = list(dict.fromkeys([chunks[i] for i in at]))
-            if any(not c or c[0].isspace() or c[-1].isspace() for c in new):
-                return self.code(text)
-            words = self.find(f" {' '.join(new)}")
-            starts = [i for i, w in enumerate(words) if w[0] == " "]
-            if len(starts) != len(new):
-                return self.code(text)
-            codes = self.codes
-            made = array("I", [codes.setdefault(w, len(codes)) for w in words]).tobytes()
-            self.memo.update(zip(new, [made[4 * i : 4 * j] for i, j in pairwise([*starts, len(words)])], strict=True))
-            for i in at:
-                parts[i] = self.memo[chunks[i]]
-        return b"".join(parts)
+
+def dealt(words: list[str], partitions: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words dealt out by their hash: those of the first partition, sorted, then those of the second, and so on.
+
+    Returns the words as bytes, the place of each given word among them, and where the partitions end. It depends on
+    nothing but the set of words, so two reads of a block number them alike.
+    """
+    encoded = [w.encode() for w in words]
+    part = np.fromiter(map(zlib.crc32, encoded), np.int64, len(words)) % partitions
+    begin = np.array(encoded, "S8").view(">u8").astype(np.uint64)
+    order = np.lexsort((begin, part))
+    alike = np.flatnonzero((np.diff(part[order]) == 0) & (np.diff(begin[order]) == 0))
+    for run in np.split(alike, np.flatnonzero(np.diff(alike) > 1) + 1) if len(alike) else ():
+        a, b = run[0], run[-1] + 2
+        order[a:b] = sorted(order[a:b].tolist(), key=encoded.__getitem__)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return [encoded[i] for i in order.tolist()], place, np.cumsum(np.bincount(part, minlength=partitions))
 
 
 def explode_words(pattern: str, partitions: int, kind: int):
     """For mapInArrow: documents (doc_id, text) to packed blocks; the rows of one kind are returned.
 
-    The block's number is a hash of its documents, so both kinds agree however often a task is run.
+    The block's number is a hash of its documents, so both kinds agree however often a task is run. Words alone need no
+    sequence, so for them a block's chunks are only told apart.
     """
 
-    def block(splitter: Splitter, ids: list[int | None], docs: list[bytes], digest: int) -> Iterator[tuple]:
-        lengths = np.fromiter(map(len, docs), np.int64, len(docs)) // 4
-        codes = np.frombuffer(b"".join(docs), "<u4")
-        words = list(splitter.codes)
-        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+    def block(splitter: Splitter, ids: list[int | None], texts: list[str], digest: int) -> list[tuple]:
+        if kind == WORDS:
+            words, _, ends = dealt(list(splitter.distinct(texts)), partitions)
+            rows, a = [], 0
+            for p, b in enumerate(ends.tolist()):
+                if a < b:
+                    sizes = np.fromiter(map(len, words[a:b]), np.int64, b - a)
+                    rows.append((p, digest, WORDS, pack([a], sizes, b"".join(words[a:b]))))
+                a = b
+            return rows
+        lengths, codes = splitter.split_all(texts)
+        _, place, _ = dealt(list(splitter.codes), partitions)
+        codes = place[codes]
+        order = np.argsort(-np.bincount(codes, minlength=len(place)), kind="stable")  # frequent words get small codes
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        if kind == CODES:
-            numbers = np.array([0 if x is None else x for x in ids], "<i8").tobytes()
-            null = np.array([x is None for x in ids], np.uint8).tobytes()
-            yield digest, digest, CODES, pack(lengths, rank[codes], numbers, null, np.array([len(words)]))
-            return
-        dealt: dict[int, list[int]] = {}
-        encoded = [w.encode() for w in words]
-        for i, w in enumerate(encoded):
-            dealt.setdefault(xxhash.xxh32_intdigest(w) % partitions, []).append(i)
-        for p, at in dealt.items():
-            at.sort(key=encoded.__getitem__)
-            sizes = np.array([len(encoded[i]) for i in at])
-            yield p, digest, WORDS, pack(rank[at], sizes, b"".join(encoded[i] for i in at))
+        numbers = np.array([0 if x is None else x for x in ids], "<i8").tobytes()
+        null = np.array([x is None for x in ids], np.uint8).tobytes()
+        return [(digest, digest, CODES, pack(lengths, rank[codes], numbers, null, np.diff(order, prepend=0)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(pattern)
         ids: list[int | None] = []
-        docs: list[bytes] = []
+        docs: list[str] = []
         hashed, size = xxhash.xxh3_64(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal ids, docs, hashed, size
-            digest = hashed.intdigest() - (1 << 63)
-            for row in block(splitter, ids, docs, digest):
-                yield rows_of([row])
+            if rows := block(splitter, ids, docs, hashed.intdigest() - (1 << 63)):
+                yield rows_of(rows)
             ids, docs, hashed, size = [], [], xxhash.xxh3_64(), 0
             splitter.clear()
 
@@ -155,7 +245,7 @@ def explode_words(pattern: str, partitions: int, kind: int):
             for piece, texts in slices(batch, "text"):
                 for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts, strict=True):
                     ids.append(doc_id)
-                    docs.append(splitter.split(text))
+                    docs.append(text)
                     hashed.update(f"{doc_id} {len(text)} ".encode())
                     hashed.update(text.encode())
                     size += len(text)
@@ -186,27 +276,36 @@ def rows_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch(arrays, names=["key", "block", "kind", "blob"])
 
 
+@lru_cache(maxsize=1)
+def encoding_of(vocabulary: str, pattern: str):  # noqa: ANN201
+    """One encoding for all tasks of a worker."""
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks(vocabulary), special_tokens={})
+
+
 def encode_words(vocabulary: str, pattern: str):
     """For mapInArrow over one partition of words: encode each distinct word once, and send the ids back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks(vocabulary), special_tokens={})
+        encoding = encoding_of(vocabulary, pattern)
+        piece = encoding._core_bpe.encode_single_piece  # the library splits a word again, which ASCII words don't need
         memo: dict[bytes, bytes] = {}
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob"), strict=True):
-                rank, sizes, joined = unpack(blob.as_py())
+                first, sizes, joined = unpack(blob.as_py())
                 ends = np.cumsum(ints(sizes)).tolist()
                 words = [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                 if len(memo) > REMEMBERED:
                     memo.clear()
-                for w in words:
-                    if w not in memo:
-                        memo[w] = array("I", encoding.encode_ordinary(w.decode())).tobytes()
-                ids = [memo[w] for w in words]
-                n_ids = np.array([len(x) // 4 for x in ids])
-                yield rows_of([(block, block, IDS, pack(ints(rank), n_ids, np.frombuffer(b"".join(ids), "<u4")))])
+                ids = list(map(memo.get, words))
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    w = words[at]
+                    ids[at] = memo[w] = array("I", piece(w) if w.isascii() else encoding.encode_ordinary(w.decode())).tobytes()
+                n_ids = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                yield rows_of([(block, block, IDS, pack(ints(first), n_ids, np.frombuffer(b"".join(ids), "<u4")))])
 
     return uncollected(run)
 
@@ -221,16 +320,20 @@ def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind.as_py() == IDS:
                 parts.append(blob.as_py())
                 continue
-            lengths, codes, numbers, null, n_words = unpack(blob.as_py())
-            lengths, codes, n_words = ints(lengths), ints(codes), int(ints(n_words)[0])
-            n_ids, where, pieces, base = np.full(n_words, -1, np.int64), np.zeros(n_words, np.int64), [], 0
+            lengths, codes, numbers, null, steps = unpack(blob.as_py())
+            lengths, codes, order = ints(lengths), ints(codes), np.cumsum(ints(steps).astype(np.int32))
+            n_ids, where, pieces, base = np.full(len(order), -1, np.int64), np.zeros(len(order), np.int64), [], 0
+            known = 0
             for part in parts:
-                rank, n, flat = map(ints, unpack(part))
-                n_ids[rank] = n
-                where[rank] = base + np.cumsum(n) - n
+                first, n, flat = map(ints, unpack(part))
+                at = slice(int(first[0]), int(first[0]) + len(n))
+                n_ids[at] = n
+                where[at] = base + np.cumsum(n) - n
                 pieces.append(flat)
                 base += len(flat)
-            if (n_ids < 0).any():
+                known += len(n)
+            n_ids, where = n_ids[order], where[order]
+            if known != len(order) or (n_ids < 0).any():
                 raise ValueError("a block lacks the ids of some of its words: its input changed between two reads")
             table = np.concatenate([*pieces, np.zeros(0, np.int64)]).astype(np.int32)
             doc_ids = np.frombuffer(numbers, "<i8")
