@@ -13,7 +13,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +29,27 @@ FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.page.row.count.limit": "4000",
 }
-#: Characters of text that are encoded at once, and chunks that a worker remembers.
-SLICE_CHARS, REMEMBERED = 1_000_000, 250_000
+#: Characters of text in a slice, those whose chunks are told apart at once, and chunks that a worker remembers.
+SLICE_CHARS, ENCODED_CHARS, REMEMBERED = 1_000_000, 3_000_000, 250_000
 #: Slots of the table that tells a chunk's first sight from later ones.
 SEEN = 1 << 22
 #: Marks that often end a chunk: neither letters, digits nor white space, and no apostrophe.
 MARKS = ".,;:!?)]}\"#$%&*+-/<=>@\\^_`|~"
 
 
+def told_apart(text: str) -> tuple[np.ndarray, list[str]]:
+    """The number of each chunk between single spaces among the distinct chunks, and these."""
+    # Arrow's dictionary compares whole values; each chunk keeps the space behind it.
+    raw = f"{text} ".encode()
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1
+    bounds = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
+    chunks = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
+    distinct = chunks.dictionary
+    _, bounds, joined = distinct.buffers()
+    end = np.frombuffer(bounds, np.int64)[distinct.offset + len(distinct)]
+    return chunks.indices.to_numpy(), joined[: int(end)].to_pybytes().decode().split(" ")[:-1]
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, remembering the ids of chunks between single spaces.
 
@@ -113,20 +125,55 @@ class ChunkEncoder:
         self.young[chunk] = ids
         return ids
 
+    def encode_all(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, with end behind each, and all their ids.
+
+        The distinct chunks of all texts are looked up, or encoded, once; a text with a chunk that can't be encoded
+        apart is encoded whole.
+        """
+        heads: list[bytes] = []
+        tails, behind = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            first, space, tail = text.replace("\n", " \n").partition(" ")
+            if not space or first[-1:].isspace() or any(x in text for x in self.added):
+                heads.append(self.whole(text))
+                continue
+            heads.append(self.whole(first) if first[:1].isspace() else self.apart(first, "") if first else b"")
+            tails.append(tail)
+            behind[i] = tail.count(" ") + 1
+        first = np.cumsum(behind) - behind  # a text's head comes before its first chunk
+        number, ids, lost = np.zeros(0, np.int64), [], []
+        if tails:
+            number, chunks = told_apart(" ".join(tails))
+            ids = list(map(self.young.get, chunks))
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                if (made := self.remember(chunks[at])) is None:
+                    lost.append(at)
+                ids[at] = made or b""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = sizes[number]
+        if lost:
+            held = np.isin(number, lost)
+            owner = np.repeat(np.arange(len(texts)), behind)
+            for i in np.unique(owner[held]).tolist():
+                heads[i] = self.whole(texts[i])
+                n[first[i] : first[i] + behind[i]] = 0
+        head_sizes = np.fromiter(map(len, heads), np.int64, len(heads)) // 4
+        flat = np.frombuffer(b"".join([*ids, *heads, end]), "<i4")
+        before = np.cumsum(sizes) - sizes
+        before_heads = int(sizes.sum()) + np.cumsum(head_sizes) - head_sizes
+        # For each text its head, its chunks and the end.
+        where = np.stack([first, first + behind], axis=1).ravel()
+        n = np.insert(n, where, np.stack([head_sizes, np.full(len(texts), len(end) // 4)], axis=1).ravel())
+        begin = np.insert(before[number], where, np.stack([before_heads, np.full(len(texts), len(flat) - len(end) // 4)], axis=1).ravel())
+        stop = np.cumsum(n)
+        counts = np.diff(stop[np.cumsum(behind + 2) - 1], prepend=0)
+        return counts, flat[np.repeat(begin - (stop - n), n) + np.arange(n.sum())]
+
     def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " \n").split(" ")
-        first = chunks[0]
-        if first and first[-1].isspace() or any(x in text for x in self.added):
-            return self.whole(text)
-        parts = list(map(self.young.get, chunks))
-        parts[0] = self.whole(first)
-        at = 0
-        for _ in range(parts.count(None)):
-            at = parts.index(None, at)
-            if (ids := self.remember(chunks[at])) is None:
-                return self.whole(text)
-            parts[at] = ids
-        return b"".join(parts)
+        return self.encode_all([text])[1].tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -139,7 +186,7 @@ def packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut a batch so that each piece holds a bounded amount of text (one document at least)."""
     column = batch.column(text)
     texts: list[str] = []
@@ -147,7 +194,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, l
     for i, t in enumerate(column):
         texts.append(t.as_py())
         size += len(texts[-1] or "")
-        if size >= SLICE_CHARS or i + 1 == len(column):
+        if size >= chars or i + 1 == len(column):
             yield batch.slice(start, i + 1 - start), texts
             start, size, texts = i + 1, 0, []
 
@@ -161,16 +208,14 @@ def encode_rows(tokenizer: str, end_id: int):
         gc.disable()  # the tokens that the library returns, millions of short-lived objects, hold no cycles
         try:
             for batch in batches:
-                for piece, texts in slices(batch, "text"):
-                    ids = [encoder.encode(t) + end for t in texts]
-                    n = np.fromiter(map(len, ids), np.int64, len(ids)) // len(end)
+                for piece, texts in slices(batch, "text", ENCODED_CHARS):
+                    n, flat = encoder.encode_all(texts, end)
                     ends = np.cumsum(n)
-                    flat = np.frombuffer(b"".join(ids), "<i4")
                     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                     yield pa.record_batch(
                         [
                             piece.column("doc_id"),
-                            pa.array(np.full(len(ids), part, np.int32)),
+                            pa.array(np.full(len(n), part, np.int32)),
                             pa.array(before + ends - n),
                             pa.array(n),
                             pa.ListArray.from_arrays(offsets, pa.array(flat)),
